@@ -31,8 +31,8 @@ def next_action(status: Column | str) -> Column:
 
 
 def whole_days(earlier: Column | str, now: Column) -> Column:
-    seconds = F.unix_micros(now) - F.unix_micros(col_of(earlier))
-    return F.floor(seconds / F.lit(86_400_000_000))
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(col_of(earlier).cast("timestamp"))
+    return F.floor(micros / F.lit(86_400_000_000))
 
 
 def posted_age_label(posted_at: Column | str, now: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postgrain.functions.patterns import SPACES
-from postgrain.functions.text import col_of, text_or_empty, trim
+from postgrain.functions.text import bind, col_of, text_or_empty, trim
 
 
 def grouped(number: Column) -> Column:
@@ -26,14 +26,20 @@ def _positive(amount: Column | str) -> Column:
 
 def usd_range(low: Column | str, high: Column | str) -> Column:
     """Dollar range for display; a missing, non-finite or non-positive end is absent."""
-    lo, hi = _positive(low), _positive(high)
-    lo_text, hi_text = (F.concat(F.lit("$"), F.format_number(x, 0)) for x in (lo, hi))
-    return (
-        F.when(lo.isNotNull() & hi.isNotNull(),
-               F.when(lo == hi, lo_text).otherwise(F.concat(lo_text, F.lit("–"), hi_text)))
-        .when(lo.isNotNull(), F.concat(lo_text, F.lit("+")))
-        .when(hi.isNotNull(), F.concat(F.lit("up to "), hi_text))
-    )
+
+    def shown(p: Column) -> Column:
+        low_text, high_text = (
+            F.concat(F.lit("$"), F.format_number(p[x], 0)) for x in ("low", "high")
+        )
+        return (
+            F.when(p["low"] == p["high"], low_text)
+            .when(p["low"].isNotNull() & p["high"].isNotNull(),
+                  F.concat(low_text, F.lit("–"), high_text))
+            .when(p["low"].isNotNull(), F.concat(low_text, F.lit("+")))
+            .when(p["high"].isNotNull(), F.concat(F.lit("up to "), high_text))
+        )
+
+    return bind(F.struct(_positive(low).alias("low"), _positive(high).alias("high")), shown)
 
 
 def open_range(low: Column, high: Column, show, dash: str) -> Column:

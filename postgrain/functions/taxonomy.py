@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postgrain.functions.patterns import any_of, jvm
-from postgrain.functions.text import col_of, sha256, squash, trim
+from postgrain.functions.text import bind, col_of, sha256, squash, trim
 from postgrain.rules import titles as R
 from postgrain.rules.constants import SENIORITY_LEVELS
 
@@ -75,12 +75,14 @@ def location_key(location: Column | str, remote: Column | str) -> Column:
             F.lower(F.coalesce(col_of(location), F.lit(""))), jvm(r"[^a-z0-9\s]"), " "
         )
     )
-    scope = squash(F.regexp_replace(cleaned, jvm(r"\bremote\b"), ""))
-    folded = trim(F.regexp_replace(scope, jvm(r"\b(?:united states|usa)\b"), "us"))
-    return F.when(
-        col_of(remote),
-        F.when(scope == "", F.lit("remote:any")).otherwise(F.concat(F.lit("remote:"), folded)),
-    ).otherwise(cleaned)
+
+    def keyed(place: Column) -> Column:
+        scope = squash(F.regexp_replace(place, jvm(r"\bremote\b"), ""))
+        folded = trim(F.regexp_replace(scope, jvm(r"\b(?:united states|usa)\b"), "us"))
+        region = F.coalesce(F.nullif(folded, F.lit("")), F.lit("any"))
+        return F.when(col_of(remote), F.concat(F.lit("remote:"), region)).otherwise(place)
+
+    return bind(cleaned, keyed)
 
 
 def resolve_remote(
@@ -100,13 +102,14 @@ def title_tokens(title: Column | str) -> Column:
 
 def token_similarity(left: Column, right: Column) -> Column:
     """Jaccard similarity of two token sets; 0 when either is empty."""
-    shared = F.size(F.array_intersect(left, right))
-    either = F.size(left) + F.size(right) - shared
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), shared / either).otherwise(F.lit(0.0))
+    both = F.size(left) + F.size(right)
+    score = bind(F.size(F.array_intersect(left, right)), lambda shared: shared / (both - shared))
+    return F.when((F.size(left) > 0) & (F.size(right) > 0), score).otherwise(F.lit(0.0))
 
 
 def title_similarity(left: Column | str, right: Column | str) -> Column:
-    return token_similarity(title_tokens(left), title_tokens(right))
+    pair = F.struct(title_tokens(left).alias("a"), title_tokens(right).alias("b"))
+    return bind(pair, lambda p: token_similarity(p["a"], p["b"]))
 
 
 def fingerprint(company: Column, family: Column, location: Column, markers: Column) -> Column:

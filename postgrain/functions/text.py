@@ -24,6 +24,14 @@ def col_of(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it.
+
+    Without this every mention is another copy of the expression, and copies nest.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trim(value: Column | str) -> Column:
     """Drop leading and trailing white space of any kind."""
     return F.trim(col_of(value), F.lit(SPACES))
@@ -35,8 +43,7 @@ def squash(value: Column | str) -> Column:
 
 
 def blank_to_null(value: Column | str) -> Column:
-    trimmed = trim(value)
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(trim(value), F.lit(""))
 
 
 def text_or_empty(value: Column | str) -> Column:
@@ -83,9 +90,11 @@ def _decoded(entity: Column) -> Column:
 
 def decode_entities(value: Column | str) -> Column:
     """Decode HTML entities once; unknown names stay as they are."""
-    text = col_of(value)
-    return F.when(F.contains(text, F.lit("&")), replace_each(text, _ENTITY, _decoded)).otherwise(
-        text
+    return bind(
+        col_of(value),
+        lambda text: F.when(
+            F.contains(text, F.lit("&")), replace_each(text, _ENTITY, _decoded)
+        ).otherwise(text),
     )
 
 
@@ -130,10 +139,13 @@ def _accent_pairs() -> tuple[str, str]:
 
 def fold(value: Column | str) -> Column:
     """Lower-case and strip accents, the way full-text matching compares words."""
-    lowered = F.lower(col_of(value))
     source, target = _accent_pairs()
-    stripped = F.regexp_replace(F.translate(lowered, source, target), r"\p{Mn}+", "")
-    return F.when(F.regexp_like(lowered, F.lit(r"[^\x00-\x7F]")), stripped).otherwise(lowered)
+
+    def strip(lowered: Column) -> Column:
+        plain = F.regexp_replace(F.translate(lowered, source, target), r"\p{Mn}+", "")
+        return F.when(F.regexp_like(lowered, F.lit(r"[^\x00-\x7F]")), plain).otherwise(lowered)
+
+    return bind(F.lower(col_of(value)), strip)
 
 
 def index_tokens(value: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postgrain.functions.text import col_of, replace_each, trim
+from postgrain.functions.text import bind, col_of, replace_each, trim
 from postgrain.rules.constants import SOURCE_HOME, TRACKING_PARAMS
 
 _WEB_URL = r"^(?i)(https?):[/\\]*([^/?#\\]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -25,18 +25,21 @@ def is_web_url(value: Column | str) -> Column:
     )
 
 
-def _encode_path(path: Column) -> Column:
+def _encode_path(value: Column) -> Column:
     """Percent-encode what a browser would; leave existing escapes alone."""
     unsafe = r"[^\x21-\x7E]|[\"<>`{}^]"
-    escaped = replace_each(
-        path, unsafe, lambda ch: F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))
-    )
-    return F.when(F.regexp_like(path, F.lit(unsafe)), escaped).otherwise(path)
 
+    def encode(path: Column) -> Column:
+        escaped = replace_each(
+            path, unsafe, lambda ch: F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))
+        )
+        return F.when(F.regexp_like(path, F.lit(unsafe)), escaped).otherwise(path)
+
+    return bind(value, encode)
 
-def _resolve_dots(path: Column) -> Column:
+
+def _resolve_dots(value: Column) -> Column:
     """Remove `.` and `..` segments."""
-    segments = F.split(path, "/", -1)
 
     def step(acc: Column, seg: Column) -> Column:
         popped = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
@@ -45,10 +48,13 @@ def _resolve_dots(path: Column) -> Column:
             .otherwise(F.concat(acc, F.array(seg)))
         )
 
-    walked = F.aggregate(segments, F.array().cast("array<string>"), step)
-    closing = F.when(F.regexp_like(path, F.lit(r"/\.{1,2}$")), "/").otherwise("")
-    resolved = F.concat(F.array_join(walked, "/"), closing)
-    return F.when(F.regexp_like(path, F.lit(r"/\.{1,2}(/|$)")), resolved).otherwise(path)
+    def resolve(path: Column) -> Column:
+        walked = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
+        closing = F.when(F.regexp_like(path, F.lit(r"/\.{1,2}$")), "/").otherwise("")
+        resolved = F.concat(F.array_join(walked, "/"), closing)
+        return F.when(F.regexp_like(path, F.lit(r"/\.{1,2}(/|$)")), resolved).otherwise(path)
+
+    return bind(value, resolve)
 
 
 def _decode_param(text: Column) -> Column:
@@ -74,29 +80,46 @@ def _clean_query(query: Column) -> Column:
     )
 
 
+def _authority(url: Column) -> Column:
+    """Lower-case host and port without user info."""
+    return F.lower(F.regexp_replace(_part(url, 2), "^.*@", ""))
+
+
+def _without_default_port(parts: Column) -> Column:
+    port = F.when(parts["scheme"] == "https", F.lit(":443")).otherwise(F.lit(":80"))
+    host = parts["host"]
+    return F.when(
+        F.endswith(host, port), F.substring(host, F.lit(1), F.length(host) - F.length(port))
+    ).otherwise(F.regexp_replace(host, ":$", ""))
+
+
 def canonicalize_url(value: Column | str) -> Column:
     """One spelling per page: host folded, tracking and fragment dropped, parameters sorted.
 
     Parameters sort in binary order. Anything that is no http(s) URL comes back trimmed.
     """
-    url = trim(value)
-    scheme = F.lower(_part(url, 1))
-    authority = F.lower(F.regexp_replace(_part(url, 2), "^.*@", ""))
-    default_port = F.when(scheme == "https", F.lit(":443")).otherwise(F.lit(":80"))
-    port_less = F.when(
-        F.endswith(authority, default_port),
-        F.substring(authority, F.lit(1), F.length(authority) - F.length(default_port)),
-    ).otherwise(F.regexp_replace(authority, ":$", ""))
-    host = F.regexp_replace(port_less, r"^www\.", "")
-    path = F.replace(_part(url, 3), F.lit("\\"), F.lit("/"))
-    path = _encode_path(_resolve_dots(path))
-    path = F.when(F.length(path) <= 1, F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
-    query = F.when(_part(url, 4) != "", _clean_query(_part(url, 4))).otherwise(F.lit(""))
-    clean = F.concat(
-        scheme, F.lit("://"), host, path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    )
-    return F.when(is_web_url(url), clean).otherwise(url)
+
+    def assemble(parts: Column) -> Column:
+        host = F.regexp_replace(_without_default_port(parts), r"^www\.", "")
+        path = bind(
+            _encode_path(_resolve_dots(parts["path"])),
+            lambda p: F.when(F.length(p) <= 1, F.lit("/")).otherwise(F.regexp_replace(p, "/+$", "")),
+        )
+        query = bind(
+            F.when(parts["query"] != "", _clean_query(parts["query"])).otherwise(F.lit("")),
+            lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(q),
+        )
+        return F.concat(parts["scheme"], F.lit("://"), host, path, query)
+
+    def clean(url: Column) -> Column:
+        parts = F.struct(
+            F.lower(_part(url, 1)).alias("scheme"), _authority(url).alias("host"),
+            F.replace(_part(url, 3), F.lit("\\"), F.lit("/")).alias("path"),
+            _part(url, 4).alias("query"),
+        )
+        return F.when(is_web_url(url), bind(parts, assemble)).otherwise(url)
+
+    return bind(trim(value), clean)
 
 
 def safe_url(value: Column | str, source: Column | str) -> Column:
@@ -107,13 +130,12 @@ def safe_url(value: Column | str, source: Column | str) -> Column:
 
 def host_of(value: Column | str) -> Column:
     """Host (with a non-default port) for display, or the word "link"."""
-    url = trim(value)
-    host = F.lower(F.regexp_replace(_part(url, 2), "^.*@", ""))
-    shown = F.regexp_replace(
-        host, F.when(F.lower(_part(url, 1)) == "https", F.lit(":443$")).otherwise(F.lit(":80$")),
-        F.lit(""),
-    )
-    return F.when(is_web_url(url), shown).otherwise(F.lit("link"))
+
+    def shown(url: Column) -> Column:
+        parts = F.struct(F.lower(_part(url, 1)).alias("scheme"), _authority(url).alias("host"))
+        return F.when(is_web_url(url), bind(parts, _without_default_port)).otherwise(F.lit("link"))
+
+    return bind(trim(value), shown)
 
 
 def resolve_link(link: Column | str, base: Column | str) -> Column:

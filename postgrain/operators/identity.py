@@ -136,7 +136,8 @@ def similar_titles(
 
 def assign_parents(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Batch rows with the stage that matched and the sequence number of their parent."""
-    rows = _nodes(batch)
+    # the batch is read by every stage; the stored side is scanned per stage, few columns each
+    rows = checkpointed(_nodes(batch))
     nodes = _nodes(existing).unionByName(rows)
 
     def earliest(by: list[str], within: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from postgrain.functions.money_time import round_half_up
 from postgrain.functions.skills import match_skill_list, match_skills, term_pattern
+from postgrain.functions.text import bind
 from postgrain.operators.profiles import Profile
 from postgrain.rules import constants as C
 from postgrain.rules.skills import SKILLS, prose_terms
@@ -82,10 +83,6 @@ def skill_demand(rows: DataFrame, examples: int = C.EXAMPLE_COMPANIES) -> DataFr
     return totals.join(named, ["cohort", "skill"])
 
 
-def _usable(token: Column) -> Column:
-    return (F.length(token) >= 2) & ~F.regexp_like(token, F.lit("^[0-9]+$"))
-
-
 def candidate_terms(text: Column | str, stopwords=STOPWORDS) -> Column:
     """Distinct unigrams and adjacent bigrams of a text, without stopwords and bare numbers."""
     words = bounded(stopwords, STOPWORD_LIMIT, "stopwords")
@@ -93,17 +90,22 @@ def candidate_terms(text: Column | str, stopwords=STOPWORDS) -> Column:
     raw = F.regexp_extract_all(
         F.lower(column), F.lit(r"[a-z0-9][a-z0-9+#.]*(?:-[a-z0-9+#.]+)*"), F.lit(0)
     )
+
     # every match starts with a letter or digit, so trimming dots never empties a token; a token
     # that cannot be part of a term becomes null, which also breaks bigrams across it
-    slots = F.transform(
-        raw, lambda t: F.when(
-            _usable(F.rtrim(t, F.lit("."))) & ~F.rtrim(t, F.lit(".")).isin(*words),
-            F.rtrim(t, F.lit(".")),
-        )
-    )
-    following = F.slice(slots, F.lit(2), F.greatest(F.size(slots), F.lit(1)))
-    pairs = F.zip_with(slots, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(F.concat(slots, pairs), lambda t: t.isNotNull()))
+    slots = F.transform(raw, lambda token: bind(
+        F.rtrim(token, F.lit(".")),
+        lambda t: F.when(
+            (F.length(t) >= 2) & ~t.isin(*words) & ~F.regexp_like(t, F.lit("^[0-9]+$")), t
+        ),
+    ))
+
+    def terms(found: Column) -> Column:
+        following = F.slice(found, F.lit(2), F.greatest(F.size(found), F.lit(1)))
+        pairs = F.zip_with(found, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_distinct(F.filter(F.concat(found, pairs), lambda t: t.isNotNull()))
+
+    return bind(slots, terms)
 
 
 def term_counts(rows: DataFrame, stopwords=STOPWORDS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postgrain.functions.labels import clamp
 from postgrain.functions.skills import match_skills
 from postgrain.operators.profiles import Profile
-from postgrain.operators.text_index import clean_phrases, phrase_scan, rank_scan
+from postgrain.operators.text_index import FIELDS, clean_phrases, phrase_scan, rank_scan
 from postgrain.rules import constants as C
 from postgrain.rules.skills import SKILLS
 from postgrain.session import checkpointed
@@ -59,7 +59,7 @@ def recall_paths(
     phrases = titles + rare
     # both text paths read one scan of the texts
     scan = checkpointed(
-        phrase_scan(postings.withColumnRenamed("id", "doc_id"), phrases, stemmed=stemmed)
+        phrase_scan(postings.select(F.col("id").alias("doc_id"), *FIELDS), phrases, stemmed=stemmed)
     )
     by_title = rank_scan(scan, phrases, range(len(titles)))
     by_skill = rank_scan(scan, phrases, range(len(titles), len(phrases)))

@@ -104,12 +104,10 @@ def _finish(entries: DataFrame, source: str, fields: dict[str, Column], reason:
             no_array: Column | None) -> DataFrame:
     body = F.lit(f"{source} returned no entries array") if no_array is None else no_array
     keep = [c for c in entries.columns if c not in ("_item", "_bad_body", "_pos", "company")]
-    defaults = {
-        "source": F.lit(source), "payload": F.to_json(F.struct(_item().alias("v"))),
-        "location": F.lit(None).cast("string"), "remote": F.lit(None).cast("boolean"),
-        "salary_text": F.lit(None).cast("string"),
+    values = {
+        "source": F.lit(source), "payload": F.to_json(_item()),
+        "location": F.lit(None), "remote": F.lit(None), "salary_text": F.lit(None), **fields,
     }
-    values = {**defaults, "payload": _item().cast("string"), **fields}
     return entries.select(
         *[F.when(~F.col("_bad_body"), values[c]).cast(RAW_ITEM[c].dataType).alias(c)
           if c != "source" else values[c].alias(c) for c in _COLUMNS],
