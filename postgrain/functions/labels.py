@@ -65,7 +65,8 @@ def salary_label(text: Column | str) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), value))
+    # least and greatest skip nulls, so a missing value has to be kept missing
+    return F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
 
 
 def clamp_overall(value: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import replace
 
 import pandas as pd
@@ -58,7 +58,7 @@ def extract_batches(
     leaves out is cached as empty; a batch it fails on carries an error and must not be cached.
     """
 
-    def run(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("position")
         pairs = [(str(i), t) for i, t in zip(batch["comment_id"], batch["text"])]
         out = pd.DataFrame({

@@ -20,6 +20,11 @@ from postgrain.rules.constants import PAGE_BUNDLES, PAGE_DEPTH, PAGE_KEYS, PAGE_
 _SCRIPT = r"(?is)<script(?=[\s>/])([^>]*)>(.*?)</script"
 
 
+def _reference(place: int, provider: str):
+    return lambda token: F.struct(
+        F.lit(place).alias("place"), F.lit(provider).alias("provider"), token.alias("token"))
+
+
 def board_references(html: Column | str, catalog: tuple[Board, ...] = BOARDS) -> Column:
     """array<struct<place, provider, token>>: every reference found, repeats included.
 
@@ -33,8 +38,7 @@ def board_references(html: Column | str, catalog: tuple[Board, ...] = BOARDS) ->
         found = F.concat(*[
             F.regexp_extract_all(page, F.lit(prefix + p), F.lit(1)) for p in board.patterns
         ])
-        marked = F.transform(found, lambda t, n=place, b=board: F.struct(
-            F.lit(n).alias("place"), F.lit(b.provider).alias("provider"), t.alias("token")))
+        marked = F.transform(found, _reference(place, board.provider))
         groups.append(F.when(F.contains(lowered, F.lit(board.literal)), marked).otherwise(
             F.array().cast("array<struct<place:int,provider:string,token:string>>")))
     return F.filter(F.concat(*groups), lambda h: ~F.lower(h["token"]).isin(*BOARD_NOISE))

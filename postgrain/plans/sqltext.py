@@ -238,13 +238,14 @@ SIGHTINGS = """sightings AS (
   SELECT source, run, row_number() OVER (PARTITION BY source ORDER BY run) AS run_no,
     count(*) OVER (PARTITION BY source) AS total
   FROM (SELECT DISTINCT source, run FROM sightings)
-), daily AS (
+), perday AS (
   SELECT s.source, s.source_native_id, s.run, r.run_no, r.total, count(*) AS n,
-    min(seen_at) AS first_at, max(seen_at) AS last_at,
-    lag(r.run_no) OVER w AS before, lead(r.run_no) OVER w AS after
+    min(seen_at) AS first_at, max(seen_at) AS last_at
   FROM sightings s JOIN runs r ON s.source = r.source AND s.run = r.run
   GROUP BY ALL
-  WINDOW w AS (PARTITION BY s.source, s.source_native_id ORDER BY r.run_no)
+), daily AS (
+  SELECT *, lag(run_no) OVER w AS before, lead(run_no) OVER w AS after FROM perday
+  WINDOW w AS (PARTITION BY source, source_native_id ORDER BY run_no)
 )"""
 
 RUN_STATS = """stats AS (
@@ -258,7 +259,7 @@ RUN_STATS = """stats AS (
 
 _LEVEL = "CAST(substr(o_orderpriority, 1, 1) AS INTEGER)"
 EVENTS = f"""app_events AS (
-  SELECT o_custkey AS job_id, o_orderkey AS seq, o_orderdate AS at,
+  SELECT o_custkey AS job_id, o_orderkey AS seq, o_orderdate AS moment,
     CASE WHEN o_orderkey % 4 = 1 THEN 'note' ELSE 'status' END AS kind,
     CASE WHEN o_orderkey % 4 = 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN '  ' ELSE 'note ' || o_orderkey END
       WHEN o_orderstatus = 'O' THEN
@@ -269,10 +270,10 @@ EVENTS = f"""app_events AS (
   FROM orders
 ), applications AS (
   SELECT job_id,
-    coalesce((arg_max(value, {{'a': at, 's': seq}}) FILTER (WHERE kind = 'status')), 'shortlisted') AS status,
-    arg_min(at, {{'a': at, 's': seq}}) FILTER (WHERE kind = 'status' AND value = 'applied') AS applied_at,
-    nullif(trim(arg_max(value, {{'a': at, 's': seq}}) FILTER (WHERE kind = 'note')), '') AS notes,
-    min(at) AS created_at, max(at) AS updated_at
+    coalesce((arg_max(value, {{'a': moment, 's': seq}}) FILTER (WHERE kind = 'status')), 'shortlisted') AS status,
+    arg_min(moment, {{'a': moment, 's': seq}}) FILTER (WHERE kind = 'status' AND value = 'applied') AS applied_at,
+    nullif(trim(arg_max(value, {{'a': moment, 's': seq}}) FILTER (WHERE kind = 'note')), '') AS notes,
+    min(moment) AS created_at, max(moment) AS updated_at
   FROM app_events GROUP BY job_id
 )"""
 

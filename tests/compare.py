@@ -59,8 +59,9 @@ def compare(spark, con, folder: str, name: str):
     elif len(got[1]) != len(want[1]):
         problem = f"{len(got[1])} rows != {len(want[1])}"
     if problem is None or "rows" in problem:
-        extra = [r for r in got[1] if r not in set(want[1])][:3]
-        lacking = [r for r in want[1] if r not in set(got[1])][:3]
+        ours, theirs = set(got[1]), set(want[1])
+        extra = [r for r in got[1] if r not in theirs][:3]
+        lacking = [r for r in want[1] if r not in ours][:3]
         if extra or lacking:
             problem = f"{problem or 'values differ'}\n   spark {extra}\n   sql   {lacking}"
     return problem, len(got[1]), middle - start, time.time() - middle
