@@ -18,7 +18,7 @@ from postgrain.operators.profiles import Profile
 from postgrain.rules import constants as C
 from postgrain.rules.skills import SKILLS, prose_terms
 from postgrain.rules.stopwords import STOPWORDS
-from postgrain.session import bounded
+from postgrain.session import bounded, checkpointed
 
 STOPWORD_LIMIT = 5_000
 COHORTS = ("market", "shortlist")
@@ -62,23 +62,21 @@ def cohort_skills(postings: DataFrame, scores: DataFrame, skills=SKILLS) -> Data
 
 def skill_demand(rows: DataFrame, examples: int = C.EXAMPLE_COMPANIES) -> DataFrame:
     """Companies and postings per (cohort, skill), with the first few company names."""
-    per_company = (
+    # read by both branches below; without the cut the texts would be matched once per branch
+    per_company = checkpointed(
         rows.select("cohort", "company_normalized", F.explode("skills").alias("skill"))
         .groupBy("cohort", "skill", "company_normalized").agg(F.count("*").alias("n"))
     )
     totals = per_company.groupBy("cohort", "skill").agg(
         F.count("*").alias("companies"), F.sum("n").alias("postings")
     )
-    # row_number <= k is applied before the shuffle as well, so no group is ever collected whole;
-    # the unused count stays in the row so that both branches read the same exchange
+    # row_number <= k is applied before the shuffle as well, so no group is ever collected whole
     by_name = W.partitionBy("cohort", "skill").orderBy("company_normalized")
     named = (
         per_company.withColumn("_rank", F.row_number().over(by_name))
         .where(F.col("_rank") <= examples)
         .groupBy("cohort", "skill")
-        .agg(F.array_sort(F.collect_list(F.struct("company_normalized", "n"))).alias("_first"))
-        .select("cohort", "skill",
-                F.transform("_first", lambda x: x["company_normalized"]).alias("example_companies"))
+        .agg(F.array_sort(F.collect_list("company_normalized")).alias("example_companies"))
     )
     return totals.join(named, ["cohort", "skill"])
 

@@ -145,7 +145,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(scored, _dimensions(d)).alias("dimensions"),
         F.when(scored & (d % 9 != 0), pick(("low", "medium", "high"), d % 3)).alias("uncertainty"),
         F.when(scored & (d % 10 != 0), F.concat(F.lit("because "), d.cast("string"))).alias("rationale"),
-        F.when(scored, F.when(d % 8 == 0, "v1").otherwise("v2")).alias("prompt_version"),
+        F.when(scored, F.when((d + k) % 8 == 0, "v1").otherwise("v2")).alias("prompt_version"),
         F.when(scored, F.when(d % 12 == 0, "m0").otherwise("m1")).alias("model_id"),
         F.timestamp_seconds(F.lit(1706745600) + (d % 1000) * 60).alias("scored_at"),
     )

@@ -221,7 +221,7 @@ SCORES = f"""scores AS (
     CASE WHEN {_SCORED} AND d.doc_id % 9 <> 0
       THEN {pick(('low', 'medium', 'high'), 'd.doc_id % 3')} END AS uncertainty,
     CASE WHEN {_SCORED} AND d.doc_id % 10 <> 0 THEN 'because ' || d.doc_id END AS rationale,
-    CASE WHEN {_SCORED} THEN CASE WHEN d.doc_id % 8 = 0 THEN 'v1' ELSE 'v2' END END AS prompt_version,
+    CASE WHEN {_SCORED} THEN CASE WHEN (d.doc_id + k) % 8 = 0 THEN 'v1' ELSE 'v2' END END AS prompt_version,
     CASE WHEN {_SCORED} THEN CASE WHEN d.doc_id % 12 = 0 THEN 'm0' ELSE 'm1' END END AS model_id,
     TIMESTAMP '2024-02-01' + to_minutes(CAST(d.doc_id % 1000 AS INTEGER)) AS scored_at
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id,

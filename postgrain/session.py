@@ -44,8 +44,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Below this size a table is read as it is, however few partitions that gives.
+SPREAD_BYTES = 256 * 1024
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A Parquet table; a file too coarse to occupy the cores is spread over them.
+
+    Files are split at row groups, so one small file is one task however many cores wait. Tables
+    with at least as many splits as cores, which is every table of real size, are not shuffled.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a split holds at most maxPartitionBytes, so a larger table has more splits than cores
+    if SPREAD_BYTES < size < cores * 128 * 1024 * 1024 and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def bounded(items: Iterable, limit: int, what: str) -> list:

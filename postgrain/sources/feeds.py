@@ -412,7 +412,7 @@ def read_weworkremotely(pages: DataFrame) -> DataFrame:
     items = pages.withColumn("_chunk", F.explode_outer(F.when(F.size(chunks) > 0, F.transform(
         chunks, lambda c, i: F.struct(i.alias("pos"), F.substring_index(c, "</item>", 1).alias("xml"))
     )))).where("_chunk IS NOT NULL")
-    element = F.lit(r"<([a-zA-Z][\w-]*)>([\s\S]*?)</\1>")
+    element = F.lit(r"(?s)<([a-zA-Z][\w-]*)>(.*?)</\1>")
     parsed = items.withColumns({
         "_names": F.regexp_extract_all("_chunk.xml", element, F.lit(1)),
         "_values": F.regexp_extract_all("_chunk.xml", element, F.lit(2)),
@@ -422,30 +422,39 @@ def read_weworkremotely(pages: DataFrame) -> DataFrame:
         at = F.array_position("_names", F.lit(name))
         value = F.get("_values", (at - 1).cast("int"))
         plain = F.regexp_replace(
-            value, rf"^{SPACE}*<!\[CDATA\[([\s\S]*?)\]\]>{SPACE}*$", "$1")
+            value, rf"(?s)^{SPACE}*<!\[CDATA\[(.*?)\]\]>{SPACE}*$", "$1")
         return F.coalesce(trim(plain), F.lit(""))
 
-    heading = decode_entities(field("title"))
-    split_at = F.instr(heading, ":")
-    link = trim(decode_entities(field("link")))
-    guid = _or(trim(decode_entities(field("guid"))), link)
-    company = F.when(split_at > 0, trim(F.substring_index(heading, ":", 1))).otherwise(F.lit(""))
-    title = trim(F.regexp_replace(heading, "^[^:]*:", ""))
-    region = trim(decode_entities(field("region")))
+    kept = [c for c in pages.columns if c != "payload"]
+    # one projection per step: each column below is used several times by the next one
+    fields = parsed.select(
+        *kept, "_chunk", decode_entities(field("title")).alias("_heading"),
+        trim(decode_entities(field("link"))).alias("_link"),
+        trim(decode_entities(field("guid"))).alias("_guid"),
+        trim(decode_entities(field("region"))).alias("_region"),
+        field("description").alias("_body"), field("pubDate").alias("_date"),
+    )
+    headed = F.instr("_heading", ":") > 0
+    named = fields.select(
+        *kept, "_chunk", "_link", "_region", "_body", "_date",
+        _or(F.col("_guid"), F.col("_link")).alias("_guid"),
+        F.when(headed, trim(F.substring_index("_heading", ":", 1))).otherwise("").alias("_company"),
+        trim(F.regexp_replace("_heading", "^[^:]*:", "")).alias("_title"),
+    )
+    guid, link = F.col("_guid"), F.col("_link")
     reason = F.when(guid == "", F.concat(
         F.lit("weworkremotely "), "category", F.lit(" entry has no guid or link"))).when(
-        _any_blank(company, title), F.concat(
+        _any_blank(F.col("_company"), F.col("_title")), F.concat(
             F.lit("weworkremotely entry "), guid, F.lit(' has no "Company: Title" heading')))
-    return parsed.select(
+    return named.select(
         F.lit("weworkremotely").alias("source"), guid.alias("source_native_id"),
         F.col("_chunk.xml").alias("payload"), _or(link, guid).alias("url"),
-        company.alias("company"), title.alias("title"), _null_if_blank(region).alias("location"),
-        F.lit(True).alias("remote"),
-        html_to_text(decode_entities(field("description"))).alias("description"),
+        F.col("_company").alias("company"), F.col("_title").alias("title"),
+        _null_if_blank(F.col("_region")).alias("location"), F.lit(True).alias("remote"),
+        html_to_text(decode_entities("_body")).alias("description"),
         F.lit(None).cast("string").alias("salary_text"),
-        M.timestamp_or_null(field("pubDate")).alias("posted_at"),
-        *[c for c in pages.columns if c != "payload"], F.col("_chunk.pos").alias("position"),
-        reason.alias("reject_reason"),
+        M.timestamp_or_null("_date").alias("posted_at"),
+        *kept, F.col("_chunk.pos").alias("position"), reason.alias("reject_reason"),
     )
 
 
