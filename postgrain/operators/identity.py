@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postgrain.functions.fanout import inline_rows
 from postgrain.functions.taxonomy import fingerprint, title_tokens, token_similarity
 from postgrain.rules.constants import TITLE_SIMILARITY
 from postgrain.session import checkpointed
@@ -66,9 +67,9 @@ def _short_matches(lookup: DataFrame, index: DataFrame, threshold: float) -> Dat
     """(block, tokens) -> smallest sequence number of a similar title, both titles short."""
 
     def published(groups: DataFrame) -> DataFrame:
-        return groups.where(F.size("tokens") <= SUBSET_WORDS).select(
-            "*", F.inline(_subset_keys(F.col("block"), F.col("tokens"), threshold))
-        )
+        short = groups.where(F.size("tokens") <= SUBSET_WORDS)
+        keys = _subset_keys(F.col("block"), F.col("tokens"), threshold)
+        return inline_rows(short, keys, *groups.columns)
 
     offers = published(index).groupBy(
         "key", "shared", F.size("tokens").alias("other_size")

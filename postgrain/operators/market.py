@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postgrain.functions.fanout import explode_rows
 from postgrain.functions.money_time import round_half_up
 from postgrain.functions.skills import match_skill_list, match_skills, term_pattern
 from postgrain.functions.text import bind
@@ -55,8 +56,8 @@ def cohort_skills(postings: DataFrame, scores: DataFrame, skills=SKILLS) -> Data
         F.array(F.when(F.col("_market"), "market"), F.when(F.col("_shortlist"), "shortlist")),
         lambda c: c.isNotNull(),
     )
-    return narrow.join(passing, "id", "left").select(
-        F.explode(cohorts).alias("cohort"), "company_normalized", "skills"
+    return explode_rows(
+        narrow.join(passing, "id", "left"), cohorts, "cohort", "company_normalized", "skills"
     )
 
 
@@ -64,7 +65,7 @@ def skill_demand(rows: DataFrame, examples: int = C.EXAMPLE_COMPANIES) -> DataFr
     """Companies and postings per (cohort, skill), with the first few company names."""
     # read by both branches below; without the cut the texts would be matched once per branch
     per_company = checkpointed(
-        rows.select("cohort", "company_normalized", F.explode("skills").alias("skill"))
+        explode_rows(rows, "skills", "skill", "cohort", "company_normalized")
         .groupBy("cohort", "skill", "company_normalized").agg(F.count("*").alias("n"))
     )
     totals = per_company.groupBy("cohort", "skill").agg(
@@ -109,8 +110,7 @@ def candidate_terms(text: Column | str, stopwords=STOPWORDS) -> Column:
 def term_counts(rows: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     """(term, companies, postings) over rows of (company_normalized, description)."""
     return (
-        rows.select("company_normalized",
-                    F.explode(candidate_terms("description", stopwords)).alias("term"))
+        explode_rows(rows, candidate_terms("description", stopwords), "term", "company_normalized")
         .groupBy("term", "company_normalized").agg(F.count("*").alias("n"))
         .groupBy("term").agg(F.count("*").alias("companies"), F.sum("n").alias("postings"))
     )

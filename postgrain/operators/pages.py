@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postgrain.functions.fanout import inline_rows, posexplode_rows
 from postgrain.functions.labels import token_candidates
 from postgrain.functions.text import col_of
 from postgrain.functions.urls import origin_of, resolve_link
@@ -49,7 +50,7 @@ def detect_boards(
 ) -> DataFrame:
     """(key, provider, token, occurrences, place) per page; only references leave the scan."""
     return (
-        pages.select(key, F.inline(board_references("html", catalog)))
+        inline_rows(pages, board_references("html", catalog), key)
         .groupBy(key, "provider", "token")
         .agg(F.count("*").alias("occurrences"), F.min("place").alias("place"))
     )
@@ -78,7 +79,7 @@ def scripts_of(html: Column | str) -> Column:
 
 def script_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, position, id, type, text) of every script."""
-    return pages.select(key, F.posexplode(scripts_of("html")).alias("position", "_s")).select(
+    return posexplode_rows(pages, scripts_of("html"), "position", "_s", key).select(
         key, "position", "_s.id", "_s.type", "_s.text"
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from postgrain.functions.fanout import explode_rows
 from postgrain.functions.stemming import porter_stem
 from postgrain.functions.text import index_tokens
 from postgrain.rules import constants as C
@@ -39,19 +40,15 @@ def _tokens(field: str) -> Column:
 def term_index(docs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """(doc_id, term, tf): how often each token occurs in a document, over all fields."""
     return (
-        docs.select("doc_id", F.explode(F.flatten(F.array(*map(_tokens, fields)))).alias("term"))
+        explode_rows(docs, F.flatten(F.array(*map(_tokens, fields))), "term", "doc_id")
         .groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     )
 
 
 def term_statistics(docs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """(term, df, cf): documents and occurrences per token, combined before the shuffle."""
-    tokens = F.flatten(F.array(*map(_tokens, fields)))
-    distinct = docs.select(F.explode(F.array_distinct(tokens)).alias("term"), F.lit(1).alias("d"),
-                           F.lit(0).alias("c"))
-    every = docs.select(F.explode(tokens).alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
-    return distinct.unionByName(every).groupBy("term").agg(
-        F.sum("d").alias("df"), F.sum("c").alias("cf")
+    """(term, df, cf): documents and occurrences per token."""
+    return term_index(docs, fields).groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("cf")
     )
 
 
@@ -78,8 +75,8 @@ def stem_variants(docs: DataFrame, words: Sequence[str], fields: Sequence[str] =
     Each distinct document word is stemmed once; only the few that match a query stem come back.
     """
     stems = {w: porter_stem(w) for w in words}
-    vocabulary = docs.select(
-        F.explode(F.array_distinct(F.flatten(F.array(*map(_tokens, fields))))).alias("word")
+    vocabulary = explode_rows(
+        docs, F.array_distinct(F.flatten(F.array(*map(_tokens, fields)))), "word"
     ).distinct()
     hits = (
         vocabulary.withColumn("stem", stem("word"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postgrain.functions import money_time as M
+from postgrain.functions.fanout import posexplode_rows
 from postgrain.functions.patterns import SPACE
 from postgrain.functions.text import blank_to_null, decode_entities, html_to_text, squash, trim
 from postgrain.schemas import RAW_ITEM
@@ -94,9 +95,9 @@ def explode_body(pages: DataFrame, path: str | None) -> DataFrame:
     marked = F.when(
         F.col("_array").isNull(), F.array(F.lit(None).cast("variant"))
     ).otherwise(F.col("_array"))
-    return present.withColumn("_bad_body", F.col("_array").isNull()).select(
+    return posexplode_rows(
+        present.withColumn("_bad_body", F.col("_array").isNull()), marked, "_pos", "_item",
         *[c for c in pages.columns if c != "payload"], "_bad_body",
-        F.posexplode(marked).alias("_pos", "_item"),
     )
 
 
@@ -425,7 +426,7 @@ def read_weworkremotely(pages: DataFrame) -> DataFrame:
             value, rf"(?s)^{SPACE}*<!\[CDATA\[(.*?)\]\]>{SPACE}*$", "$1")
         return F.coalesce(trim(plain), F.lit(""))
 
-    kept = [c for c in pages.columns if c != "payload"]
+    kept = [c for c in pages.columns if c not in ("payload", "company")]
     # one projection per step: each column below is used several times by the next one
     fields = parsed.select(
         *kept, "_chunk", decode_entities(field("title")).alias("_heading"),
@@ -460,10 +461,9 @@ def read_weworkremotely(pages: DataFrame) -> DataFrame:
 
 def read_linkedin_cards(pages: DataFrame) -> DataFrame:
     """Search result pages -> one row per usable card; cards lacking a field are dropped."""
-    cards = pages.select(
-        *[c for c in pages.columns if c != "payload"],
-        F.posexplode(F.slice(F.split("payload", "<li>", -1), F.lit(2), F.lit(1 << 30)))
-        .alias("position", "_card"),
+    cards = posexplode_rows(
+        pages, F.slice(F.split("payload", "<li>", -1), F.lit(2), F.lit(1 << 30)), "position",
+        "_card", *[c for c in pages.columns if c != "payload"],
     )
 
     def between(pattern: str) -> Column:
@@ -562,8 +562,8 @@ def read_thread_comments(threads: DataFrame, limit: int) -> DataFrame:
         children,
         lambda v: F.coalesce(trim(F.try_variant_get(v, "$.text", "string")), F.lit("")) != "",
     )
-    return threads.select(
-        "thread_id", F.posexplode(F.slice(spoken, 1, limit)).alias("position", "_item")
+    return posexplode_rows(
+        threads, F.slice(spoken, 1, limit), "position", "_item", "thread_id"
     ).select(
         "thread_id", _get("id", "string").alias("comment_id"), "position",
         html_to_text(_get("text", "string")).alias("text"),

@@ -14,32 +14,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postgrain.operators.lifecycle import first_seen_dedupe
+from postgrain.schemas import RAW_ITEM
 from postgrain.sources.feeds import READERS, good, rejects
 from postgrain.sources.tables import LANDING
 
+REJECT = "source string, source_native_id string, reason string"
 # Feeds whose responses repeat postings across queries or categories.
 REPEATING = ("weworkremotely", "usajobs", "adzuna")
 
 
 def flatten_landed(landed: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects) of landed responses of any feed; board feeds get their company name."""
+    """(items, rejects) of landed responses of any feed; board feeds get their company name.
+
+    Only readers of feeds that landed something are planned; their names are a handful of values.
+    """
+    landed = landed.where(F.col("source").isin(*READERS))
+    present = {r.source for r in landed.select("source").distinct().collect()}
     companies = seeds.where("verified").select(
         "token", F.col("board").alias("source"), F.col("name").alias("company"))
     pages = landed.join(companies, ["source", "token"], "left")
-    items = bad = None
+    items, bad = _nothing(landed)
     for source, reader in READERS.items():
+        if source not in present:
+            continue
         flat = reader(pages.where(F.col("source") == source).drop("source"))
         if source in REPEATING:
             fine = first_seen_dedupe(
                 flat.where("reject_reason IS NULL"), "query_no", "page", "position")
-            flat_good = good(fine)
+            items = items.unionByName(good(fine))
         else:
-            flat_good = good(flat)
-        items = flat_good if items is None else items.unionByName(flat_good)
-        bad = rejects(flat) if bad is None else bad.unionByName(rejects(flat))
+            items = items.unionByName(good(flat))
+        bad = bad.unionByName(rejects(flat))
     return items, bad
 
 
+def _nothing(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Empty items and rejects."""
+    session = landed.sparkSession
+    return session.createDataFrame([], RAW_ITEM), session.createDataFrame([], REJECT)
+
+
 def write_batch(batch: DataFrame, batch_id: int, seeds: DataFrame, bronze: str, reject_path: str) -> None:
     """Store one micro-batch: its items by source and its rejects, each under the batch id."""
     items, bad = flatten_landed(batch, seeds)
