@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            # instants are compared as UTC text, whatever zone the session started in
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return function(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return function

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterable
 
@@ -30,17 +29,19 @@ def build_session(app: str = "postgrain", master: str | None = None, **conf: str
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recompute.
 
-    The folder comes from the session (``spark.checkpoint.dir``). Only a session without one,
-    such as a local test, gets a temporary folder.
+    The folder comes from the session (``spark.checkpoint.dir``). A local session without one gets
+    a temporary folder; a cluster without one is refused, because executors share no local disk.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
             "spark.checkpoint.dir", None
         )
-        context.setCheckpointDir(
-            configured or os.path.join(tempfile.gettempdir(), "postgrain-checkpoints")
-        )
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            folder = tempfile.mkdtemp(prefix="postgrain-checkpoints-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
