@@ -30,7 +30,7 @@ def resolve(spark, existing, batch):
 
 
 def brute_force(existing, batch):
-    """The reference behaviour: rows one after the other, each against all earlier ones."""
+    """Rows one after the other, each against all earlier ones."""
     import hashlib
 
     def words(title):
