@@ -19,6 +19,7 @@ Every link between two sets is either inside a component after step 1 or among t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ U = np.uint64
 
 
 def near_duplicates(
-    docs: DataFrame, words_per_shingle: int = 5, percent: int = 75, sketch_cells: int = 1 << 19,
+    docs: DataFrame, words_per_shingle: int = 5, percent: int = 75, sketch_cells: int | None = None,
     hot_rows: int = 20_000, salts: int = 32, filter_bits: int = 1 << 23,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
@@ -49,11 +50,14 @@ def near_duplicates(
     doc_id links nothing; its component is that of the equal sets that have an id, else null. Other
     columns are ignored; an empty table gives an empty result.
 
-    ``sketch_cells`` is the width of each of the two sketch rows, ``hot_rows`` the estimated count
+    ``sketch_cells`` is the width of each of the two sketch rows (by default eight cells a row of
+    ``docs``, between 2**16 and 2**22, rounded up to a power of two), ``hot_rows`` the estimated count
     from which a column is split over ``salts`` partitions, ``filter_bits`` the size of the filter
     that keeps the sets of unpaired documents from moving. None of them changes the result.
     """
     texts = docs.select("doc_id", "text")
+    if sketch_cells is None:
+        sketch_cells = 1 << min(22, max(16, (8 * docs.count() - 1).bit_length()))
     profile = staged(texts.mapInArrow(
         _profiler(words_per_shingle, sketch_cells),
         "doc_id long, n long, s1 long, s2 long, part int, cells binary"), "profile")
@@ -120,12 +124,20 @@ def _cells(grams: np.ndarray, cells: int) -> list[np.ndarray]:
     return [(mixed(grams, 21 + k) % U(cells)).astype(np.int64) for k in (0, 1)]
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    return zlib.compress(cells.astype("<u4").tobytes(), 1)
+
+
+def _unpacked(piece: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(piece), "<u4")
+
+
 def _profiler(size: int, cells: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()),
                         ("s2", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros((2, cells), np.int64), _Seen()
+        sketch, seen = np.zeros((2, cells), np.uint32), _Seen()
         for batch in slices(batches):
             grams, counts, _, digests = _sets(batch, size)
             new = grams[np.repeat(seen.fresh(counts, digests), counts)]
@@ -136,7 +148,7 @@ def _profiler(size: int, cells: int):
                 [batch.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array(digests[0]),
                  pa.array(digests[1]), *nothing], schema=schema)
         if sketch.any():
-            pieces = [x.astype("<u4").tobytes() for x in np.split(sketch.reshape(-1), PARTS)]
+            pieces = [_packed(x) for x in np.split(sketch.reshape(-1), PARTS)]
             none = pa.nulls(PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, none, pa.array(range(PARTS), pa.int32()),
@@ -151,19 +163,17 @@ def _sketch(profile: DataFrame, cells: int) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, piece in zip(batch["part"].to_pylist(), batch["cells"], strict=True):
-                values = np.frombuffer(piece.as_buffer(), "<u4")
-                sums[part] = np.minimum(sums.get(part, 0) + values.astype(np.int64), 2**32 - 1)
+            for part, piece in zip(batch["part"].to_pylist(), batch["cells"].to_pylist(), strict=True):
+                sums[part] = np.minimum(sums.get(part, 0) + _unpacked(piece).astype(np.int64), 2**32 - 1)
         yield pa.RecordBatch.from_pydict(
             {"part": pa.array(list(sums), pa.int32()),
-             "cells": pa.array([x.astype("<u4").tobytes() for x in sums.values()], pa.binary())})
+             "cells": pa.array([_packed(x) for x in sums.values()], pa.binary())})
 
     pieces = profile.where("part is not null").select("part", "cells")
     summed = pieces.repartition(PARTS, "part").mapInArrow(add, "part int, cells binary").collect()
     if not summed:
         return np.zeros((2, cells), np.uint32)
-    whole = b"".join(bytes(r.cells) for r in sorted(summed, key=lambda r: r.part))
-    return np.frombuffer(whole, "<u4").reshape(2, cells)
+    return np.concatenate([_unpacked(r.cells) for r in sorted(summed, key=lambda r: r.part)]).reshape(2, cells)
 
 
 def _columns(texts: DataFrame, sketch: np.ndarray, size: int, percent: int, hot: int, salts: int) -> DataFrame:
