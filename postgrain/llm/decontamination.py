@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postgrain.llm.shared import slices
+from postgrain.llm.shared import SLICE_BYTES, slices
 
 #: Fixed: words of both tables, after A-Z are lowered (bytes.lower() lowers ASCII letters alone).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -118,7 +118,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
 def _searcher(blocks: list, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = compiled(blocks[0].value, window) if len(blocks) == 1 else None
-        for batch in slices(batches, size=8 << 20):
+        # several blocks are compiled again for each slice, so slices grow with them
+        for batch in slices(batches, size=SLICE_BYTES * min(8, len(blocks) or 1)):
             split = [words_of(x) for x in batch["text"].to_pylist()]
             owners: list[set] = [set() for _ in split]
             hits: list[list] = [[] for _ in split]
