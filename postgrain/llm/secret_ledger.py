@@ -122,8 +122,9 @@ def secrets(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
     found = staged(findings(spark, ledger, rules), "secret-findings").withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
     keyed = versions.withColumn("_blob_of", blob_of(F.col("text")))
     none = F.lit([]).cast(found.schema["_spans"].dataType)
-    # one blob may have a third of all rows: plain tables on both sides, so skewed parts are split
-    joined = keyed.join(found, keyed["_blob_of"] == found["_blob"], "left")
+    # one blob may have a third of all rows: plain tables on both sides, so skewed parts are split.
+    # Findings grow with the data, so they are merged at every size and never broadcast.
+    joined = keyed.join(found.hint("merge"), keyed["_blob_of"] == found["_blob"], "left")
     return joined.withColumn("spans", F.coalesce("_spans", none)).drop("_blob", "_spans", "_blob_of")
 
 
