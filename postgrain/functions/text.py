@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postgrain.functions.patterns import SPACE, SPACES
-from postgrain.rules.constants import DESCRIPTION_LIMIT
 
 # Named entities and the text each stands for (names are case-sensitive).
 NAMED_ENTITIES = {
@@ -117,14 +116,6 @@ def sha256(value: Column | str) -> Column:
     return F.sha2(col_of(value), 256)
 
 
-def truncate_description(value: Column | str, limit: int = DESCRIPTION_LIMIT) -> Column:
-    """Long descriptions are cut and marked before they reach a scorer."""
-    text = col_of(value)
-    return F.when(
-        F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n[truncated]"))
-    ).otherwise(text)
-
-
 @lru_cache(maxsize=1)
 def _accent_pairs() -> tuple[str, str]:
     """Letters that decompose into a base letter plus marks, and those base letters."""

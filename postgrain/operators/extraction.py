@@ -14,23 +14,15 @@ from pyspark.sql import functions as F
 
 from postgrain.functions.text import sha256, trim
 from postgrain.operators.profiles import Profile
-from postgrain.rules.constants import THREAD_BATCH, THREAD_COMMENTS
+from postgrain.rules.constants import THREAD_BATCH
 from postgrain.schemas import THREAD_POSTING
 
 
-def thread_comments(
-    comments: DataFrame, limit: int = THREAD_COMMENTS
-) -> DataFrame:
-    """The first non-blank top-level comments of each thread.
-
-    The rank filter is pushed below the shuffle, so a thread never gathers more than the limit
-    from any task.
-    """
+def thread_comments(comments: DataFrame, limit: int | None = None) -> DataFrame:
+    """The non-blank top-level comments of each thread: all, or the first ``limit``."""
+    spoken = comments.where(trim("text") != "")
     rank = F.row_number().over(W.partitionBy("thread_id").orderBy("position"))
-    return (
-        comments.where(trim("text") != "").withColumn("place", rank)
-        .where(F.col("place") <= limit)
-    )
+    return spoken if limit is None else spoken.withColumn("place", rank).where(F.col("place") <= limit)
 
 
 def pending_batches(

@@ -21,18 +21,17 @@ def _literal_array(values) -> Column:
 
 
 def best_matches(
-    ranked: DataFrame, passing: DataFrame, path: str, limit: int = C.RECALL_LIMIT
+    ranked: DataFrame, passing: DataFrame, path: str, limit: int | None = None
 ) -> DataFrame:
-    """Best passing active postings of a text ranking; ties go to the smaller id.
+    """Passing active postings of a text ranking: all, or the best ``limit``; ties by smaller id.
 
     Statistics cover every posting, so the filter comes after ranking, as a narrow join.
     """
-    return (
-        ranked.withColumnRenamed("doc_id", "job_id").join(passing, "job_id", "left_semi")
-        .orderBy("rank", "job_id").limit(limit)
-        .select("job_id", F.lit(path).alias("path"),
-                clamp(-F.col("rank") / C.TEXT_SCORE_SCALE, 0.0, 1.0).alias("text_score"))
-    )
+    found = ranked.withColumnRenamed("doc_id", "job_id").join(passing, "job_id", "left_semi")
+    best = found if limit is None else found.orderBy("rank", "job_id").limit(limit)
+    return best.select(
+        "job_id", F.lit(path).alias("path"),
+        clamp(-F.col("rank") / C.TEXT_SCORE_SCALE, 0.0, 1.0).alias("text_score"))
 
 
 def company_path(postings: DataFrame, passing: DataFrame, companies) -> DataFrame:
@@ -50,7 +49,7 @@ def passing_ids(postings: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def recall_paths(
-    postings: DataFrame, scores: DataFrame, profile: Profile, limit: int = C.RECALL_LIMIT,
+    postings: DataFrame, scores: DataFrame, profile: Profile, limit: int | None = None,
     stemmed: bool = False,
 ) -> DataFrame:
     """Candidates with their recall paths in fixed order and best text score."""
@@ -119,7 +118,7 @@ def score_candidates(
 
 def retrieve(
     postings: DataFrame, scores: DataFrame, profile: Profile, limit: int | None = None,
-    recall_limit: int = C.RECALL_LIMIT, stemmed: bool = False,
+    recall_limit: int | None = None, stemmed: bool = False,
 ) -> DataFrame:
     """Scored candidates, best first; all of them unless ``limit`` is given."""
     candidates = recall_paths(postings, scores, profile, recall_limit, stemmed)

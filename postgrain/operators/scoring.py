@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postgrain.functions.labels import clamp_dimensions, clamp_overall
-from postgrain.functions.text import truncate_description
 from postgrain.rules import constants as C
 from postgrain.schemas import SCORE_RESULT
 
@@ -52,7 +51,7 @@ def scoring_candidates(
         .where(F.col("rubric_score").isNull() | ~current)
         .join(active, "job_id", "left_semi")
         .orderBy(F.desc("retrieval_score"), "job_id").limit(limit)
-        .select("job_id", "description_hash", "retrieval_score")
+        .select("job_id", "description_hash", "retrieval_score", "profile_version")
     )
 
 
@@ -148,7 +147,7 @@ def scorer_input(postings: DataFrame, groups: DataFrame) -> DataFrame:
         F.col("id").alias("job_id"), "description_hash", "company", "title",
         F.coalesce("location", F.lit("not stated")).alias("location"), "remote",
         F.coalesce("salary_text", F.lit("not stated")).alias("salary"), "source", "url",
-        truncate_description("description").alias("description"),
+        "description",
     )
 
 
@@ -156,13 +155,17 @@ def merge_scores(
     scores: DataFrame, results: DataFrame, candidates: DataFrame, *, rubric_version: str,
     prompt_version: str, profile_version: str, model_id: str, scored_at: Column,
 ) -> DataFrame:
-    """Fan results out by description hash to the candidates and store them with provenance."""
+    """Fan results out by description hash to the candidates and store them with provenance.
+
+    A candidate is one row of one profile: rows of other profiles for the same posting stay.
+    """
     good = results.where("overall IS NOT NULL")
-    per_job = candidates.select("job_id", "description_hash").join(good, "description_hash").select(
-        "job_id", F.lit(rubric_version).alias("rubric_version"),
+    per_job = candidates.select("job_id", "description_hash", "profile_version").join(good, "description_hash").select(
+        F.col("job_id").alias("_job"), F.col("profile_version").alias("_profile"),
         F.struct("overall", "dimensions", "uncertainty", "rationale").alias("_r"),
     )
-    joined = scores.join(per_job, ["job_id", "rubric_version"], "left")
+    own = (F.col("job_id") == F.col("_job")) & F.col("profile_version").eqNullSafe(F.col("_profile"))
+    joined = scores.join(per_job, own & (F.col("rubric_version") == rubric_version), "left")
     fresh = F.col("_r").isNotNull()
     values = {
         "rubric_score": F.col("_r.overall"), "dimensions": F.col("_r.dimensions"),

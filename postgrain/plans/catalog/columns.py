@@ -64,14 +64,13 @@ def canonical_urls(spark, sf):
 
 @query("squashed_text", f"""
 SELECT doc_id, sha256({S.squash('text')}) AS squashed, sha256(text) AS content_hash,
-  length(CASE WHEN length(text) > 18000 THEN substr(text, 1, 18000) || chr(10) || '[truncated]'
-    ELSE text END) AS shown_chars
+  length(text) AS shown_chars
 FROM documents""")
 def squashed_text(spark, sf):
     return read_table(spark, sf, "documents").select(
         "doc_id", T.sha256(T.squash("text")).alias("squashed"),
         T.sha256("text").alias("content_hash"),
-        F.length(T.truncate_description("text")).cast("bigint").alias("shown_chars"))
+        F.length("text").cast("bigint").alias("shown_chars"))
 
 
 @query("title_family", S.with_(S.POSTINGS) + "SELECT id, title_family FROM postings")

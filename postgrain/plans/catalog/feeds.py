@@ -15,7 +15,6 @@ from postgrain.operators.lifecycle import first_seen_dedupe
 from postgrain.plans import bindings as B
 from postgrain.plans import sqltext as S
 from postgrain.plans.registry import query
-from postgrain.rules.constants import THREAD_COMMENTS
 from postgrain.schemas import THREAD_POSTING
 from postgrain.session import read_table
 from postgrain.sources import feeds as R
@@ -344,12 +343,12 @@ def _thread_comments(spark, sf) -> DataFrame:
     # a conversation is a thread; its turns are the top-level comments
     threads = talk.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", child.alias("j")))).alias("xs"))
     return R.read_thread_comments(
-        threads.select(c("conv_id").cast("string").alias("thread_id"), body.alias("payload")), THREAD_COMMENTS)
+        threads.select(c("conv_id").cast("string").alias("thread_id"), body.alias("payload")))
 
 
 @query("read_hn", f"""
 WITH spoken AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE turn % 5 <> 3),
-kept AS (SELECT *, conv_id * 1000 + turn AS cid FROM spoken WHERE place <= 60),
+kept AS (SELECT *, conv_id * 1000 + turn AS cid FROM spoken),
 many AS (SELECT *, unnest([0, 1]) AS i FROM kept)
 SELECT conv_id || ':' || cid || ':' || i AS source_native_id, 'https://news.ycombinator.com/item?id=' || cid AS url,
   'Co' || cid AS company, 'T' || i AS title, NULL AS location, CASE WHEN turn % 2 = 0 THEN true END AS remote, NULL AS salary_text,

@@ -95,10 +95,8 @@ _TEXT = (_tokens_sql("postings", "id", T.FIELDS), _phrases_sql(_TITLES + _RARE),
 _PATHS = """passing AS (
   SELECT id FROM postings WHERE status = 'active' AND id IN (SELECT job_id FROM scores WHERE hard_filter_pass)
 ), hits AS (
-  SELECT * FROM (SELECT doc_id AS job_id, 1 AS path, rank FROM by_title WHERE doc_id IN (SELECT id FROM passing)
-    ORDER BY rank, doc_id LIMIT 500)
-  UNION ALL SELECT * FROM (SELECT doc_id, 2, rank FROM by_skill WHERE doc_id IN (SELECT id FROM passing)
-    ORDER BY rank, doc_id LIMIT 500)
+  SELECT * FROM (SELECT doc_id AS job_id, 1 AS path, rank FROM by_title WHERE doc_id IN (SELECT id FROM passing))
+  UNION ALL SELECT * FROM (SELECT doc_id, 2, rank FROM by_skill WHERE doc_id IN (SELECT id FROM passing))
   UNION ALL SELECT id, 3, 0.0 FROM postings WHERE id IN (SELECT id FROM passing)
     AND company_normalized IN (""" + ", ".join(map(S.lit, _PROFILE.target_companies)) + """)
 ), candidates AS (

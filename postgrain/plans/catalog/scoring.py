@@ -13,22 +13,25 @@ from postgrain.rules.constants import DIMENSIONS
 from postgrain.session import read_table
 
 _NOW = dict(rubric_version="rubric-v1", prompt_version="v2", profile_version="p1", model_id="m1")
-_CANDIDATES = """candidates AS (
-  SELECT s.job_id, s.description_hash, s.retrieval_score FROM scores s
-  JOIN postings p ON p.id = s.job_id AND p.status = 'active'
+_CANDIDATES = """candidates AS MATERIALIZED (
+  SELECT s.job_id, s.description_hash, s.retrieval_score, s.profile_version FROM scores_once s
+  JOIN jobs_once p ON p.id = s.job_id AND p.status = 'active'
   WHERE s.hard_filter_pass AND (s.rubric_score IS NULL OR s.prompt_version IS DISTINCT FROM 'v2'
     OR s.profile_version IS DISTINCT FROM 'p1' OR s.model_id IS DISTINCT FROM 'm1')
   ORDER BY s.retrieval_score DESC, s.job_id LIMIT 250
 ), cache AS (
-  SELECT description_hash, arg_max(job_id, {'a': scored_at, 'b': -job_id}) AS best FROM scores
+  SELECT description_hash, arg_max(job_id, {'a': scored_at, 'b': -job_id}) AS best FROM scores_once
   WHERE prompt_version = 'v2' AND profile_version = 'p1' AND model_id = 'm1' AND rubric_score IS NOT NULL
   GROUP BY description_hash
-), pending AS (
+), pending AS MATERIALIZED (
   SELECT description_hash, arg_min(job_id, {'a': -retrieval_score, 'b': job_id}) AS job_id,
     count(*) AS group_size
   FROM candidates WHERE description_hash NOT IN (SELECT description_hash FROM cache) GROUP BY description_hash
 )"""
-_BASE = S.with_(S.POSTINGS, S.SCORES, _CANDIDATES)
+# each table once, however often it is named below
+_ONCE = """jobs_once AS MATERIALIZED (SELECT id, description_hash, description, status FROM postings),
+scores_once AS MATERIALIZED (SELECT * FROM scores)"""
+_BASE = S.with_(S.POSTINGS, S.SCORES, _ONCE, _CANDIDATES)
 
 
 def _parts(spark, sf):
@@ -45,7 +48,7 @@ def scoring_candidates(spark, sf):
 @query("cache_hits", _BASE + """
 SELECT c.job_id, s.rubric_score AS overall, coalesce(s.uncertainty, 'medium') AS uncertainty,
   coalesce(s.rationale, '') AS rationale
-FROM candidates c JOIN cache k USING (description_hash) JOIN scores s ON s.job_id = k.best""")
+FROM candidates c JOIN cache k USING (description_hash) JOIN scores_once s ON s.job_id = k.best""")
 def cache_hits(spark, sf):
     _, candidates, cache = _parts(spark, sf)
     return C.cache_hits(candidates, cache).select("job_id", "overall", "uncertainty", "rationale")
@@ -71,10 +74,9 @@ def length_scorer(row) -> dict:
     }
 
 
-_HOOK = """work AS (
-  SELECT g.description_hash, length(CASE WHEN length(p.description) > 18000
-    THEN substr(p.description, 1, 18000) || chr(10) || '[truncated]' ELSE p.description END) AS n
-  FROM pending g JOIN postings p ON p.id = g.job_id
+_HOOK = """work AS MATERIALIZED (
+  SELECT g.description_hash, length(p.description) AS n
+  FROM pending g JOIN jobs_once p ON p.id = g.job_id
 )"""
 _OVERALL = "CAST(floor(least(100.0, n % 130 + 0.5) + 0.5) AS DOUBLE)"
 
@@ -99,13 +101,14 @@ def scored_by_hook(spark, sf):
 
 
 @query("merge_scores", _BASE.rstrip() + ", " + _HOOK + f""", results AS (
-  SELECT c.job_id, {_OVERALL.replace('n %', 'w.n %')} AS overall FROM candidates c JOIN work w USING (description_hash)
+  SELECT c.job_id, c.profile_version, {_OVERALL.replace('n %', 'w.n %')} AS overall FROM candidates c JOIN work w USING (description_hash)
   WHERE w.n % 7 <> 0
 )
 SELECT s.job_id, coalesce(r.overall, s.rubric_score) AS rubric_score,
   CASE WHEN r.job_id IS NOT NULL THEN 'm1' ELSE s.model_id END AS model_id,
   CASE WHEN r.job_id IS NOT NULL THEN 'p1' ELSE s.profile_version END AS profile_version
-FROM scores s LEFT JOIN results r ON r.job_id = s.job_id""")
+FROM scores_once s LEFT JOIN results r ON r.job_id = s.job_id
+  AND r.profile_version IS NOT DISTINCT FROM s.profile_version""")
 def merge_scores(spark, sf):
     scores, candidates, _, results = _scored(spark, sf)
     return C.merge_scores(
@@ -114,8 +117,8 @@ def merge_scores(spark, sf):
 
 
 @query("funnel_summary", _BASE.rstrip() + ", " + _HOOK + """
-SELECT (SELECT count(*) FROM scores) AS examined, (SELECT count(*) FROM scores WHERE hard_filter_pass) AS passed,
-  (SELECT count(*) FROM scores WHERE retrieval_score > 50) AS retrieved,
+SELECT (SELECT count(*) FROM scores_once) AS examined, (SELECT count(*) FROM scores_once WHERE hard_filter_pass) AS passed,
+  (SELECT count(*) FROM scores_once WHERE retrieval_score > 50) AS retrieved,
   (SELECT count(*) FROM work WHERE n % 7 <> 0) AS scored,
   (SELECT count(*) FROM candidates JOIN cache USING (description_hash))
     + (SELECT CAST(coalesce(sum(group_size - 1), 0) AS BIGINT) FROM pending JOIN work USING (description_hash)
@@ -133,7 +136,7 @@ _COMMENTS = """spoken AS (
   FROM conversations WHERE trim(text) <> ''
 ), pending AS (
   SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY comment_id) AS n FROM spoken
-  WHERE place <= 60 AND comment_id % 4 <> 0
+  WHERE comment_id % 4 <> 0
 )"""
 
 

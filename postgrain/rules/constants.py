@@ -72,10 +72,8 @@ TITLE_SIMILARITY = 0.6
 WEIGHT_FAMILY, WEIGHT_SKILL, WEIGHT_RARE, WEIGHT_COMPANY, WEIGHT_TEXT = 0.40, 0.25, 0.20, 0.10, 0.05
 TEXT_SCORE_SCALE = 20.0
 SKILL_DENOMINATOR_CAP = 12
-RECALL_LIMIT = 500
 DEFAULT_BUDGET = 250
 SCORER_CONCURRENCY = 5
-DESCRIPTION_LIMIT = 18_000
 SHORTLIST_DEFAULT, SHORTLIST_CAP = 50, 500
 GAP_MIN_COMPANIES = 2
 DISCOVERY_MIN_POSTINGS, DISCOVERY_MIN_COMPANIES, DISCOVERY_LIMIT = 3, 3, 40
@@ -83,7 +81,7 @@ EXAMPLE_COMPANIES = 3
 RUN_WARN_HOURS, RUN_FAIL_HOURS, SOURCE_STALE_HOURS = 26, 48, 48
 BACKLOG_WARN = 250
 FEED_HORIZON_DAYS = 3
-THREAD_COMMENTS, THREAD_BATCH = 60, 5
+THREAD_BATCH = 5
 PAGE_ROOTS, PAGE_KEYS, PAGE_DEPTH = 10, 20, 6
 PAGE_BUNDLES = 12
 STRONG_SCORE, FAIR_SCORE = 75, 50

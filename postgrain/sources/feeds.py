@@ -551,8 +551,8 @@ def choose_thread(searches: DataFrame) -> DataFrame:
     ).where("thread_id IS NOT NULL")
 
 
-def read_thread_comments(threads: DataFrame, limit: int) -> DataFrame:
-    """Top-level comments with text, the first ``limit`` of each landed thread.
+def read_thread_comments(threads: DataFrame, limit: int | None = None) -> DataFrame:
+    """Top-level comments with text of each landed thread: all, or the first ``limit``.
 
     Rows: thread_id, comment_id, position, text, created_at.
     """
@@ -563,7 +563,7 @@ def read_thread_comments(threads: DataFrame, limit: int) -> DataFrame:
         lambda v: F.coalesce(trim(F.try_variant_get(v, "$.text", "string")), F.lit("")) != "",
     )
     return posexplode_rows(
-        threads, F.slice(spoken, 1, limit), "position", "_item", "thread_id"
+        threads, spoken if limit is None else F.slice(spoken, 1, limit), "position", "_item", "thread_id"
     ).select(
         "thread_id", _get("id", "string").alias("comment_id"), "position",
         html_to_text(_get("text", "string")).alias("text"),

@@ -26,14 +26,20 @@ REPEATING = ("weworkremotely", "usajobs", "adzuna")
 def flatten_landed(landed: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, rejects) of landed responses of any feed; board feeds get their company name.
 
+    A response of a source without a reader here is a reject of its own: nothing landed is lost.
     Only readers of feeds that landed something are planned; their names are a handful of values.
     """
-    landed = landed.where(F.col("source").isin(*READERS))
+    readable = F.coalesce(F.col("source").isin(*READERS), F.lit(False))
+    unread = landed.where(~readable).select(
+        "source", F.lit(None).cast("string").alias("source_native_id"),
+        F.lit("no reader for this source").alias("reason"))
+    landed = landed.where(readable)
     present = {r.source for r in landed.select("source").distinct().collect()}
     companies = seeds.where("verified").select(
         "token", F.col("board").alias("source"), F.col("name").alias("company"))
     pages = landed.join(companies, ["source", "token"], "left")
     items, bad = _nothing(landed)
+    bad = bad.unionByName(unread)
     for source, reader in READERS.items():
         if source not in present:
             continue

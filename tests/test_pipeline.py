@@ -182,3 +182,31 @@ def test_two_runs_end_to_end(spark, items):
     assert {k: m for k, (m, _) in after.items()} == {
         ("lever", "1"): 0, ("ashby", "1"): 1, ("lever", "2"): 1, ("lever", "3"): 1}
     assert {k: i for k, (_, i) in after.items()} == before
+
+
+def test_unread_sources_are_rejects(spark):
+    from postgrain.streaming.ingest import flatten_landed
+
+    rows = [(s, None, 0, 0, "{}") for s in ("linkedin", "hn", "somewhere", None)]
+    landed = spark.createDataFrame(rows, "source string, token string, query_no int, page int, payload string")
+    items, bad = flatten_landed(landed, spark.createDataFrame([], T.SEEDS))
+    assert items.count() == 0
+    assert sorted((r.source or "", r.reason) for r in bad.collect()) == [
+        (s, "no reader for this source") for s in ("", "hn", "linkedin", "somewhere")]
+
+
+def test_scores_of_other_profiles_stay(spark):
+    from pyspark.sql import functions as F
+
+    from postgrain.operators.scoring import merge_scores
+
+    dims = "struct<a: double>"
+    scores = spark.createDataFrame(
+        [(1, "h", "r1", "pA", None, None, None, None, None, None, None), (1, "h", "r1", "pB", 88.0, None, None, None, "v", "m", None)],
+        f"job_id long, description_hash string, rubric_version string, profile_version string, rubric_score double, dimensions {dims}, "
+        "uncertainty string, rationale string, prompt_version string, model_id string, scored_at timestamp")
+    candidates = scores.where("profile_version = 'pA'").select("job_id", "description_hash", "profile_version")
+    results = spark.createDataFrame([("h", 10.0, None, "low", "why")], f"description_hash string, overall double, dimensions {dims}, uncertainty string, rationale string")
+    got = merge_scores(scores, results, candidates, rubric_version="r1", prompt_version="v2", profile_version="pA", model_id="m1",
+                       scored_at=F.lit("2024-06-01").cast("timestamp"))
+    assert sorted((r.profile_version, r.rubric_score) for r in got.collect()) == [("pA", 10.0), ("pB", 88.0)]
