@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from postgrain.llm import decontamination, jaccard_join, length_buckets, quality_fm, secret_ledger
 from postgrain.llm.queries import BYTE_TOKENIZER
-from postgrain.llm.shared import new_folder, staged
+from postgrain.llm.shared import new_folder, short_batches, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from every label of the folder."""
+    short_batches(spark)
     model = quality_fm.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_fm.predict(docs, model, {c: F.col(c) for c in COLUMNS}).where("predicted = 1").select(*COLUMNS)
 
@@ -27,12 +28,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without a doc_id stay: they cannot be told apart.
     """
+    short_batches(spark)
     gone = jaccard_join.near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(staged(gone, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage in them."""
+    short_batches(spark)
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = staged(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated")
     return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
@@ -40,6 +43,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark."""
+    short_batches(spark)
     found = secret_ledger.secrets(docs)
     clean = secret_ledger.masked(F.col("text"), F.col("spans"))
     return found.withColumn("text", clean).withColumn(
@@ -48,6 +52,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length, a sequence each: the rows that a trainer reads."""
+    short_batches(spark)
     pieces = length_buckets.decompose(docs, BYTE_TOKENIZER)
     digests = staged(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return length_buckets.numbered(digests).select(

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,9 @@ def near_duplicates(
         rows.where("n > 0 and doc_id is not null").join(classes, ["n", "s1", "s2"])
         .select("doc_id", "class").distinct(), "members")
 
-    columns = staged(_columns(texts, _sketch(profile, sketch_cells), words_per_shingle, percent,
-                              hot_rows, salts), "columns")
+    sketch = texts.sparkSession.sparkContext.broadcast(_sketch(profile, sketch_cells))
+    columns = staged(_columns(texts, sketch, words_per_shingle, percent, hot_rows, salts), "columns")
+    sketch.destroy()  # stored columns need it no more
     stars = _class_pairs(_stars(columns, percent), members)
     sets = _paired_sets(texts, stars, words_per_shingle, filter_bits)
     links = staged(_verified(stars, sets, percent), "star-links")
@@ -176,14 +178,13 @@ def _sketch(profile: DataFrame, cells: int) -> np.ndarray:
     return np.concatenate([_unpacked(r.cells) for r in sorted(summed, key=lambda r: r.part)]).reshape(2, cells)
 
 
-def _columns(texts: DataFrame, sketch: np.ndarray, size: int, percent: int, hot: int, salts: int) -> DataFrame:
+def _columns(texts: DataFrame, shared: Broadcast, size: int, percent: int, hot: int, salts: int) -> DataFrame:
     """(gram, salt, doc_id, n, i, pivot) of shingles that two sets at least have in their first part.
 
     ``i`` counts the rarer shingles of the set; ``pivot`` is the set of the column with the smallest.
     """
-    cells = sketch.shape[1]
-    noise = float(sketch[0].sum()) / cells
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    cells = shared.value.shape[1]
+    noise = float(shared.value[0].sum()) / cells
     schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()),
                         ("n", pa.int32()), ("i", pa.int32())])
 
@@ -310,7 +311,9 @@ def _paired_sets(texts: DataFrame, pairs: DataFrame, size: int, bits: int) -> Da
 
     keyed = texts.where("doc_id is not null").select(
         "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"))
-    return staged(keyed.mapInArrow(run, "class long, grams array<long>"), "sets")
+    sets = staged(keyed.mapInArrow(run, "class long, grams array<long>"), "sets")
+    shared.destroy()
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

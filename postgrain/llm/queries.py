@@ -20,7 +20,7 @@ from postgrain.llm import (
     token_blocks,
     warc_members,
 )
-from postgrain.llm.shared import staged
+from postgrain.llm.shared import short_batches, staged
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,7 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

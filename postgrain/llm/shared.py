@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# freed Arrow buffers go back to the system: workers live on and share an executor's memory
+pa.set_memory_pool(pa.system_memory_pool())
+
 # A slice of a batch holds about this many bytes of text, or a single document.
 SLICE_BYTES = 1 << 19
 
@@ -39,6 +42,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts are long: where the session has Spark's default, batches get 1,000 rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
