@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,6 @@ from postgrain.functions.urls import origin_of, resolve_link
 from postgrain.rules.boards import (
     ARRAY_KEYS, BOARD_NOISE, BOARDS, POSTING_KEYS, STATE_MARKERS, Board,
 )
-from postgrain.rules.constants import PAGE_BUNDLES, PAGE_DEPTH, PAGE_KEYS, PAGE_ROOTS
 
 _SCRIPT = r"(?is)<script(?=[\s>/])([^>]*)>(.*?)</script"
 
@@ -93,132 +92,145 @@ def script_sources(html: Column | str, base: Column | str) -> Column:
     return F.array_distinct(F.filter(links, lambda u: u.isNotNull()))
 
 
-def bundle_sources(html: Column | str, base: Column | str, limit: int = PAGE_BUNDLES) -> Column:
-    """The first few scripts served from the page's own origin."""
+def bundle_sources(
+    html: Column | str, base: Column | str, limit: int | None = None
+) -> Column:
+    """The scripts served from the page's own origin; with ``limit`` only the first so many."""
     own = F.filter(script_sources(html, base), lambda u: F.startswith(u, origin_of(base)))
-    return F.slice(own, 1, limit)
+    return own if limit is None else F.slice(own, 1, limit)
 
 
-def _balanced(text: str, start: int) -> str | None:
-    """The bracketed value at ``start``, strings and escapes respected."""
-    pairs = {"{": "}", "[": "]"}
-    opening = text[start:start + 1]
-    if opening not in pairs:
-        return None
-    depth, quote, i = 0, "", start
-    while i < len(text):
-        c = text[i]
-        if quote:
-            i += c == "\\"
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == opening:
-            depth += 1
-        elif c == pairs[opening]:
-            depth -= 1
-            if depth == 0:
-                return text[start:i + 1]
-        i += 1
-    return None
-
-
-def _refuse(token: str):
-    raise ValueError(token)
-
-
-def _parsed(text: str | None):
-    """(found, value) of strict JSON text; null counts as not found."""
-    try:
-        value = json.loads(text.strip(), parse_constant=_refuse) if text else None
-    except ValueError:
-        return None
-    return value
+# What a script engine skips around JSON text.
+_BLANKS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff")
+_SHAPE = ("struct<kind:string,length:int,keys:array<string>,list_path:string,"
+          "item_keys:array<string>>")
 
 
-def _assigned(text: str, marker: str):
-    at = text.find(marker)
-    equals = text.find("=", at + len(marker)) if at >= 0 else -1
-    if equals < 0:
-        return None
-    rest = text[equals + 1:]
-    return _parsed(_balanced(text, equals + 1 + len(rest) - len(rest.lstrip())))
+def _state_texts(html: Column | str) -> Column:
+    """array<struct<rank, script, source, whole, text>>: where a page may hold JSON.
+
+    Rank 0 is the named state script, 1 are scripts of JSON type, 2 is what follows the first
+    ``=`` after a well-known name; a script may have several of those, in the order of the names.
+    """
+    def candidate(rank: int, at: Column, source: Column, text: Column) -> Column:
+        return F.struct(
+            F.lit(rank).alias("rank"), at.alias("script"), source.alias("source"),
+            F.lit(rank < 2).alias("whole"), text.alias("text"))
+
+    def of_script(s: Column, at: Column) -> Column:
+        named, typed = s["id"] == "__NEXT_DATA__", s["type"] == "application/json"
+        label = F.when(s["id"] == "", "application/json").otherwise(F.concat(F.lit("#"), s["id"]))
+        after = [
+            F.when(F.contains(s["text"], F.lit(name)), candidate(
+                2, at, F.lit(name),
+                F.regexp_extract(s["text"], f"(?s){re.escape(name)}[^=]*=(.*)", 1)))
+            for name in STATE_MARKERS
+        ]
+        return F.array(
+            F.when(named, candidate(0, at, F.lit("__NEXT_DATA__"), s["text"])),
+            F.when(~named & typed, candidate(1, at, label, s["text"])), *after)
+
+    found = F.filter(F.flatten(F.transform(scripts_of(html), of_script)), lambda c: c.isNotNull())
+
+    def ranked(rank: int) -> Column:
+        return F.filter(found, lambda c: c["rank"] == rank)
+
+    return F.concat(*map(ranked, range(3)))
+
+
+def _refused(constant: str):
+    raise ValueError(f"{constant} is not JSON")
+
 
+_DECODER = json.JSONDecoder(parse_int=float, parse_constant=_refused)
 
-def _first_list(value, depth: int = 0):
-    """(path, keys) of the first list that holds an object, depth first."""
-    if depth > PAGE_DEPTH:
+
+def _names(record: dict) -> list[str]:
+    """Keys as a script engine lists them: whole numbers first, then in order of appearance."""
+    numbers = [k for k in record if re.fullmatch("0|[1-9][0-9]{0,9}", k) and int(k) < 2**32 - 1]
+    return sorted(numbers, key=int) + [k for k in record if k not in set(numbers)]
+
+
+def _storable(names: list[str]) -> list[str]:
+    return [n.encode("utf-8", "replace").decode() for n in names]
+
+
+def _shape(text: str, whole: bool, max_depth: int | None) -> dict | None:
+    """Kind, size and keys of JSON text, and its first list of records in document order."""
+    text = text.strip(_BLANKS)
+    if not text or not (whole or text[0] in "[{"):
+        return None
+    try:
+        value, stop = _DECODER.raw_decode(text)
+    except (ValueError, RecursionError):
+        return None
+    if value is None or (whole and stop < len(text)):
         return None
-    if isinstance(value, list):
-        first = next((x for x in value if isinstance(x, dict)), None)
-        return None if first is None else ("", list(first)[:PAGE_KEYS])
+    shape = {"kind": "scalar", "length": 0, "keys": [], "list_path": None, "item_keys": []}
+    if isinstance(value, (list, dict)):
+        shape.update(kind="list" if isinstance(value, list) else "object", length=len(value))
     if isinstance(value, dict):
-        for key, inner in value.items():
-            found = _first_list(inner, depth + 1)
-            if found is not None:
-                return (f"{key}.{found[0]}" if found[0] else key), found[1]
-    return None
-
-
-def _summary(source: str, value) -> dict:
-    found = _first_list(value)
-    kind = "list" if isinstance(value, list) else "object" if isinstance(value, dict) else "scalar"
-    return {
-        "source": source, "kind": kind, "length": len(value) if kind != "scalar" else 0,
-        "keys": list(value)[:PAGE_KEYS] if kind == "object" else [],
-        "list_path": found[0] if found else None, "item_keys": found[1] if found else [],
-    }
-
-
-def _page_roots(scripts) -> list[dict]:
-    named, typed, inline = [], [], []
-    for s in scripts:
-        if s["id"] == "__NEXT_DATA__" or s["type"] == "application/json":
-            value = _parsed(s["text"])
-            if value is not None and s["id"] == "__NEXT_DATA__":
-                named.append(_summary("__NEXT_DATA__", value))
-            elif value is not None:
-                typed.append(_summary(f"#{s['id']}" if s["id"] else "application/json", value))
-        for marker in STATE_MARKERS:
-            value = _assigned(s["text"], marker)
-            if value is not None:
-                inline.append(_summary(marker, value))
+        shape["keys"] = _storable(_names(value))
+    # values still to visit, the next one last; a way is (way to the parent, key)
+    ahead = [(value, None, 0)]
+    while ahead:
+        value, way, depth = ahead.pop()
+        if isinstance(value, dict):
+            if max_depth is None or depth < max_depth:
+                ahead += [(value[k], (way, k), depth + 1) for k in reversed(_names(value))]
+        elif isinstance(value, list):
+            record = next((x for x in value if isinstance(x, dict)), None)
+            if record is not None:
+                steps = []
+                while way is not None:
+                    way, key = way
+                    if key or steps:
+                        steps.append(key)
+                shape["list_path"] = _storable([".".join(reversed(steps))])[0]
+                shape["item_keys"] = _storable(_names(record))
                 break
-    return (named + typed + inline)[:PAGE_ROOTS]
+    return shape
 
 
-def embedded_json(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def embedded_json(
+    pages: DataFrame, key: str = "page_id", max_roots: int | None = None,
+    max_keys: int | None = None, max_depth: int | None = None,
+) -> DataFrame:
     """(key, place, source, kind, length, keys, list_path, item_keys, posting_score).
 
-    Scripts that can hold JSON are picked in the scan; only those reach Python, which is needed
-    because key order and brace matching are not expressible over columns.
+    The scan picks and orders the texts that can be JSON; Python only describes each of them,
+    since a variant forgets the order of keys. Everything is kept unless a limit is given: roots
+    per page, keys per list, levels to the list. A null page has no roots. Text that is not strict
+    JSON, or nests deeper than the decoder goes (some thousand levels), is no root.
     """
-    def promising(s: Column) -> Column:
-        hit = (s["id"] == "__NEXT_DATA__") | (s["type"] == "application/json")
-        for marker in STATE_MARKERS:
-            hit = hit | F.contains(s["text"], F.lit(marker))
-        return hit
-
-    picked = pages.select(key, F.filter(scripts_of("html"), promising).alias("scripts")).where(
-        F.size("scripts") > 0
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                {key: ident, "place": n, **root}
-                for ident, scripts in zip(batch[key], batch["scripts"])
-                for n, root in enumerate(_page_roots(scripts), start=1)
-            ]
-            yield pd.DataFrame(rows, columns=[
-                key, "place", "source", "kind", "length", "keys", "list_path", "item_keys"])
-
-    kind = dict(pages.dtypes)[key]
-    roots = picked.mapInPandas(
-        run, f"{key} {kind}, place int, source string, kind string, length int, "
-        "keys array<string>, list_path string, item_keys array<string>",
-    )
-    return roots.withColumn("posting_score", posting_like_score("item_keys"))
+    @F.pandas_udf(f"array<{_SHAPE}>")
+    def shapes(pages_of_texts: pd.Series) -> pd.Series:
+        return pd.Series([
+            [_shape(t["text"], t["whole"], max_depth) for t in texts] for texts in pages_of_texts])
+
+    def limited(keys: Column) -> Column:
+        return keys if max_keys is None else F.slice(keys, 1, max_keys)
+
+    picked = pages.select(key, _state_texts("html").alias("_t")).where(F.size("_t") > 0)
+    wanted = F.transform("_t", lambda t: F.struct(t["whole"].alias("whole"), t["text"].alias("text")))
+    described = F.filter(
+        F.zip_with(
+            F.transform("_t", lambda t: t.dropFields("text", "whole")), shapes(wanted),
+            lambda t, s: F.struct(t.alias("t"), s.alias("s"))),
+        lambda r: r["s"].isNotNull())
+    # of the names that one script assigns to, the first that holds JSON counts
+    roots = F.filter("_r", lambda r, i: ~F.coalesce(
+        (r["t"]["rank"] == 2) & (F.get("_r", i - 1)["t"]["rank"] == 2)
+        & (F.get("_r", i - 1)["t"]["script"] == r["t"]["script"]), F.lit(False)))
+    kept = picked.select(key, described.alias("_r")).select(key, roots.alias("_r"))
+    if max_roots is not None:
+        kept = kept.withColumn("_r", F.slice("_r", 1, max_roots))
+    return posexplode_rows(kept, F.col("_r"), "place", "_r1", key).select(
+        key, (F.col("place") + 1).alias("place"), "_r1.t.source", "_r1.s.kind", "_r1.s.length",
+        limited(F.col("_r1.s.keys")).alias("keys"), "_r1.s.list_path",
+        limited(F.col("_r1.s.item_keys")).alias("item_keys"),
+    ).withColumn("posting_score", posting_like_score("item_keys"))
 
 
 def posting_like_score(keys: Column | str) -> Column:

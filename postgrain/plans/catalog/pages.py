@@ -19,11 +19,16 @@ _LINKS = (
     '<a href="https://apply.workable.com/work-{n}/">w</a><a href="https://team-{n}.na.teamtailor.com/jobs">t</a>',
     '<a href="https://jobs.smartrecruiters.com/Big{n}/9">s</a><a href="https://nine{n}.wd5.myworkdayjobs.com/x">d</a>',
 )
+_MANY = 25
 _STATES = (
     '<script id="__NEXT_DATA__" type="application/json">{"props":{"jobs":[{"title":"t{n}","location":"l"}]}}</script>',
     '<script type="application/json">[{"slug":"s{n}"}]</script>',
     '<script>window.__NUXT__ = {"a":"}","rows":[1,{"Title":{n},"team":2}]};track();</script>',
     '<script src="/static/app{n}.js"></script><script SRC=\'https://cdn.example.com/v.js\'></script>',
+    # more roots, keys and levels than a glance needs
+    "".join(f'<script id="s{n}" type="application/json">[{n}]</script>' for n in range(_MANY))
+    + '<script>__DATA__ = 1; window.__DATA__ = {"a":{"b":{"c":{"d":{"e":{"f":{"g":[{'
+    + ",".join(f'"k{n}":{n}' for n in range(_MANY)) + "}]}}}}}}};</script>",
 )
 
 
@@ -33,13 +38,13 @@ def _template(values, index):
 
 def mined_pages(spark, sf):
     n = F.col("page_id")
-    tail = F.concat(_template(_LINKS, n % 5), _template(_STATES, n % 4))
+    tail = F.concat(_template(_LINKS, n % 5), _template(_STATES, n % len(_STATES)))
     return read_table(spark, sf, "pages").select(
         "page_id", "url", F.concat("html", F.replace(tail, F.lit("{n}"), (n % 100).cast("string"))).alias("html"))
 
 
 _MINED = f"""mined AS (SELECT page_id, url, html || replace({S.pick(_LINKS, 'page_id % 5')} ||
-  {S.pick(_STATES, 'page_id % 4')}, '{{n}}', CAST(page_id % 100 AS VARCHAR)) AS html FROM pages)"""
+  {S.pick(_STATES, f'page_id % {len(_STATES)}')}, '{{n}}', CAST(page_id % 100 AS VARCHAR)) AS html FROM pages)"""
 _HITS = "hits AS (SELECT page_id, provider, token, count(*) AS occurrences FROM (" + " UNION ALL ".join(
     f"SELECT page_id, {S.lit(b.provider)} AS provider, unnest(regexp_extract_all(html, "
     f"{S.lit(('(?i)' if b.ignore_case else '') + p)}, 1)) AS token FROM mined"
@@ -97,9 +102,9 @@ def script_blocks(spark, sf):
 
 
 @query("script_sources", S.with_(_MINED) + """
-SELECT page_id, CASE WHEN page_id % 4 = 3 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/static/app' ||
+SELECT page_id, CASE WHEN page_id % 5 = 3 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/static/app' ||
   (page_id % 100) || '.js,https://cdn.example.com/v.js' ELSE '' END AS sources,
-  CASE WHEN page_id % 4 = 3 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/static/app' ||
+  CASE WHEN page_id % 5 = 3 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/static/app' ||
   (page_id % 100) || '.js' ELSE '' END AS own FROM mined""")
 def script_sources(spark, sf):
     return mined_pages(spark, sf).select(
@@ -107,13 +112,18 @@ def script_sources(spark, sf):
         F.array_join(P.bundle_sources("html", "url"), ",").alias("own"))
 
 
-@query("embedded_json", S.with_(_MINED) + """
-SELECT page_id, 1 AS place, ['__NEXT_DATA__', 'application/json', 'window.__NUXT__'][page_id % 4 + 1] AS source,
-  ['object', 'list', 'object'][page_id % 4 + 1] AS kind, [1, 1, 2][page_id % 4 + 1] AS length,
-  ['props', '', 'a,rows'][page_id % 4 + 1] AS keys, ['props.jobs', '', 'rows'][page_id % 4 + 1] AS list_path,
-  ['title,location', 'slug', 'Title,team'][page_id % 4 + 1] AS item_keys,
-  [2, 1, 2][page_id % 4 + 1] AS posting_score
-FROM mined WHERE page_id % 4 < 3""")
+@query("embedded_json", S.with_(_MINED) + f"""
+SELECT page_id, 1 AS place, ['__NEXT_DATA__', 'application/json', 'window.__NUXT__'][page_id % 5 + 1] AS source,
+  ['object', 'list', 'object'][page_id % 5 + 1] AS kind, [1, 1, 2][page_id % 5 + 1] AS length,
+  ['props', '', 'a,rows'][page_id % 5 + 1] AS keys, ['props.jobs', '', 'rows'][page_id % 5 + 1] AS list_path,
+  ['title,location', 'slug', 'Title,team'][page_id % 5 + 1] AS item_keys,
+  [2, 1, 2][page_id % 5 + 1] AS posting_score
+FROM mined WHERE page_id % 5 < 3
+UNION ALL SELECT page_id, n + 1, '#s' || n, 'list', 1, '', NULL, '', 0
+FROM mined, range({_MANY}) r(n) WHERE page_id % 5 = 4
+UNION ALL SELECT page_id, {_MANY} + 1, 'window.__DATA__', 'object', 1, 'a', 'a.b.c.d.e.f.g',
+  (SELECT string_agg('k' || n, ',' ORDER BY n) FROM range({_MANY}) r(n)), 0
+FROM mined WHERE page_id % 5 = 4""")
 def embedded_json(spark, sf):
     return P.embedded_json(mined_pages(spark, sf)).withColumns({
         "keys": F.array_join("keys", ","), "item_keys": F.array_join("item_keys", ",")})

@@ -82,8 +82,6 @@ RUN_WARN_HOURS, RUN_FAIL_HOURS, SOURCE_STALE_HOURS = 26, 48, 48
 BACKLOG_WARN = 250
 FEED_HORIZON_DAYS = 3
 THREAD_BATCH = 5
-PAGE_ROOTS, PAGE_KEYS, PAGE_DEPTH = 10, 20, 6
-PAGE_BUNDLES = 12
 STRONG_SCORE, FAIR_SCORE = 75, 50
 BM25_K1, BM25_B, BM25_IDF_FLOOR = 1.2, 0.75, 1e-6
 RUBRIC_VERSION = "rubric-v1"

@@ -60,25 +60,43 @@ def test_thread_choice(spark):
     assert [r.thread_id for r in R.choose_thread(bodies(spark, hits)).collect()] == ["3"]
 
 
-def test_embedded_json_depth_and_limits(spark):
+def test_embedded_json(spark):
     deep = {"a": {"b": {"c": {"d": {"e": {"f": [{"title": 1}]}}}}}}
-    deeper = {"z": deep}
     many = "".join(f'<script type="application/json" id="s{n}">[{n}]</script>' for n in range(12))
     html = {
-        "six": f'<script id="__NEXT_DATA__">{json.dumps(deep)}</script>',
-        "seven": f'<script id="__NEXT_DATA__">{json.dumps(deeper)}</script>',
+        "seven": f'<script id="__NEXT_DATA__">{json.dumps({"z": deep})}</script>',
         "many": many, "broken": '<script type="application/json">{"a":NaN}</script>',
+        "tail": '<script type="application/json">{"a":1} x</script>',
         "brace": "<script>x=1; __DATA__; window.__DATA__ = {'a': 1}</script>",
         "quoted": '<script>__INITIAL_STATE__={"s":"}\\"}","l":[{"slug":"x"}]};y()</script>',
+        "order": '<script>window.__NUXT__ = bad; __APOLLO_STATE__ = {"b":1,"10":2,"9":[3],"\\ud800":4}</script>'
+                 '<script type="application/json"> 7 </script><script id="__NEXT_DATA__">[0,{"k":1}]</script>',
+        "once": '<script>window.__NUXT__ = {"a":1}</script><script>window.__DATA__ = {"b":1}</script>',
+        "null": '<script type="application/json">null</script>', "empty": "", "none": None,
+        "nested": '<script type="application/json">' + "[" * 200_000 + "]" * 200_000 + "</script>",
+        "levels": '<script type="application/json">' + '{"a":' * 900 + '[{"x":1}]' + "}" * 900 + "</script>",
     }
     rows = spark.createDataFrame(list(html.items()), "page_id string, html string")
-    got = {}
-    for r in P.embedded_json(rows).collect():
-        got.setdefault(r.page_id, []).append(r)
-    assert got["six"][0].list_path == "a.b.c.d.e.f" and got["seven"][0].list_path is None
-    assert len(got["many"]) == 10 and got["many"][0].source == "#s0"
-    assert "broken" not in got and "brace" not in got
+
+    def roots(**limits):
+        got = {}
+        for r in P.embedded_json(rows, **limits).orderBy("page_id", "place").collect():
+            got.setdefault(r.page_id, []).append(r)
+        return got
+
+    got = roots()
+    assert set(got) == {"seven", "many", "quoted", "order", "once", "levels"}
+    assert got["seven"][0].list_path == "z.a.b.c.d.e.f"
+    assert [(r.place, r.source) for r in got["many"]] == [(n + 1, f"#s{n}") for n in range(12)]
     assert (got["quoted"][0].list_path, got["quoted"][0].posting_score) == ("l", 1)
+    assert [(r.source, r.kind, r.length, r.keys, r.list_path, r.item_keys) for r in got["order"]] == [
+        ("__NEXT_DATA__", "list", 2, [], "", ["k"]), ("application/json", "scalar", 0, [], None, []),
+        ("__APOLLO_STATE__", "object", 4, ["9", "10", "b", "?"], None, [])]
+    assert [r.source for r in got["once"]] == ["window.__NUXT__", "window.__DATA__"]
+    assert got["levels"][0].list_path == ".".join("a" * 900)
+    few = roots(max_roots=10, max_keys=2, max_depth=6)
+    assert few["seven"][0].list_path is None and len(few["many"]) == 10
+    assert few["order"][2].keys == ["9", "10"]
 
 
 def test_csv_export(spark, tmp_path):
