@@ -142,8 +142,10 @@ def assign_parents(existing: DataFrame, batch: DataFrame) -> DataFrame:
     nodes = _nodes(existing).unionByName(rows)
 
     def earliest(by: list[str], within: DataFrame, name: str) -> DataFrame:
-        wanted = nodes.join(within.select(*by), by, "left_semi")
-        return wanted.groupBy(*by).agg(F.min("seq").alias(name))
+        # minima first: a key with many rows leaves each scan task as one row. They are stored, as
+        # an aggregation right below the next join would keep adaptive execution from splitting it
+        minima = nodes.groupBy(*by).agg(F.min("seq").alias(name))
+        return checkpointed(minima.join(within.select(*by).distinct(), by, "left_semi"))
 
     key = ["source", "source_native_id"]
     one = rows.join(earliest(key, rows, "by_id"), key)
@@ -152,8 +154,8 @@ def assign_parents(existing: DataFrame, batch: DataFrame) -> DataFrame:
     open_two = two.where("by_url = seq")
     # stage three touches only blocks that still hold an unresolved row
     index = (
-        nodes.join(open_two.select("block"), "block", "left_semi")
-        .groupBy("block", "tokens").agg(F.min("seq").alias("first_seq"))
+        nodes.groupBy("block", "tokens").agg(F.min("seq").alias("first_seq"))
+        .join(open_two.select("block"), "block", "left_semi")
     )
     lookup = open_two.select("block", "tokens").distinct()
     three = open_two.join(similar_titles(lookup, index), ["block", "tokens"], "left")
