@@ -142,8 +142,7 @@ def assign_parents(existing: DataFrame, batch: DataFrame) -> DataFrame:
     nodes = _nodes(existing).unionByName(rows)
 
     def earliest(by: list[str], within: DataFrame, name: str) -> DataFrame:
-        # minima first: a key with many rows leaves each scan task as one row. They are stored, as
-        # an aggregation right below the next join would keep adaptive execution from splitting it
+        # minima first: a key with many rows leaves each scan task as one row
         minima = nodes.groupBy(*by).agg(F.min("seq").alias(name))
         return checkpointed(minima.join(within.select(*by).distinct(), by, "left_semi"))
 
