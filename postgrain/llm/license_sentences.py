@@ -1,9 +1,10 @@
 """Licence recognition by sentence rules.
 
 A text is cut into sentences, which are normalised and mapped to identifiers of known licence
-sentences. Runs of identifiers that follow one another are then matched against licence rules, in
-their order, so that a rule of several sentences comes before the shorter ones it contains.
-DataFrame functions only.
+sentences. A line break, ``;`` or ``:`` may end a sentence or stand within one, so wrapped and
+commented notices count like those on one line. Runs of identifiers that follow one another are then
+matched against licence rules, in their order, so that a rule of several sentences comes before the
+shorter ones it contains. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences that public licence texts and notices contain, by identifier (one letter each).
+_GNU = ("This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name}General Public "
+        "License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any "
+        "later version")
+#: Sentences that public licence texts and notices contain, by identifier (one letter or digit each);
+#: ``*`` stands for up to 14 words, such as a holder's name.
 SENTENCES = {
     "A": "Licensed under the Apache License, Version 2.0",
     "B": "You may not use this file except in compliance with the License",
@@ -40,31 +45,110 @@ SENTENCES = {
     "O": "SPDX-License-Identifier: MIT",
     "P": "SPDX-License-Identifier: Apache-2.0",
     "Q": "Licensed under the MIT License",
+    "R": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+         "following conditions are met",
+    "S": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+         "disclaimer",
+    "T": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+         "disclaimer in the documentation and/or other materials provided with the distribution",
+    "U": "Neither the name of * nor the names of * may be used to endorse or promote products derived from this software "
+         "without specific prior written permission",
+    "V": "The name of * may not be used to endorse or promote products derived from this software without specific prior "
+         "written permission",
+    "W": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "X": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+         "granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "Y": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby "
+         "granted, provided that the above copyright notice and this permission notice appear in all copies",
+    # the mark in 'v. 2.0' ends the sentence; no other version of the licence has this wording
+    "Z": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "a": "The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\")",
+    "b": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "c": _GNU.format(what="program", name="", version="2"),
+    "d": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+         "License version 2 as published by the Free Software Foundation",
+    "e": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+         "License as published by the Free Software Foundation; version 2 of the License",
+    "f": _GNU.format(what="library", name="Lesser ", version="2.1"),
+    "g": _GNU.format(what="library", name="Lesser ", version="3"),
+    "h": _GNU.format(what="program", name="Lesser ", version="3"),
+    "i": _GNU.format(what="program", name="Affero ", version="3"),
+    "j": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+         "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "k": "See the GNU Lesser General Public License for more details",
+    "l": "See the GNU Affero General Public License for more details",
+    "m": _GNU.format(what="library", name="Library ", version="2"),
+    "n": "See the GNU Library General Public License for more details",
+    "o": _GNU.format(what="program", name="Lesser ", version="2.1"),
+    **dict(zip("0123456789pqrst", (f"SPDX-License-Identifier: {name}" for name in (
+        "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+        "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only",
+        "AGPL-3.0-or-later")), strict=True)),
 }
 #: Licence rules, the first that fits at a place wins: name, identifiers that follow one another.
 RULES = (
     ("Apache-2.0-notice", "NBCD"), ("Apache-2.0-notice", "NBC"), ("Apache-2.0", "N"), ("Apache-2.0", "A"), ("Apache-2.0", "P"),
     ("GPL-3.0-or-later", "HIJ"), ("GPL-3.0-or-later", "HI"), ("GPL-3.0-or-later", "H"), ("GPL-3.0", "G"), ("MIT-text", "F"),
     ("MIT", "E"), ("MIT", "Q"), ("MIT", "O"), ("CC-BY-NC-4.0", "K"), ("CC-BY-4.0", "L"), ("CC-BY-4.0", "M"),
+    ("Apache-2.0-notice", "NBbD"), ("Apache-2.0-notice", "NBb"), ("Apache-2.0-notice", "aBCD"), ("Apache-2.0-notice", "aBC"),
+    ("Apache-2.0-notice", "aBbD"), ("Apache-2.0-notice", "aBb"), ("Apache-2.0", "a"),
+    ("BSD-4-Clause", "RSTW"), ("BSD-3-Clause", "RSTU"), ("BSD-3-Clause", "RSTV"), ("BSD-2-Clause", "RST"),
+    ("ISC", "X"), ("ISC", "Y"), ("MPL-2.0", "Z"),
+    *((name, first + rest) for name, first, rests in (
+        ("GPL-2.0-or-later", "c", ("IJ", "I", "")), ("GPL-2.0-only", "d", ("IJ", "I", "")), ("GPL-2.0-only", "e", ("IJ", "I", "")),
+        ("LGPL-2.1-or-later", "f", ("jk", "j", "")), ("LGPL-2.1-or-later", "o", ("Ik", "I", "")),
+        ("LGPL-3.0-or-later", "g", ("jk", "j", "")), ("LGPL-3.0-or-later", "h", ("Ik", "I", "")),
+        ("LGPL-2.0-or-later", "m", ("jn", "j", "")), ("AGPL-3.0-or-later", "i", ("Il", "I", ""))) for rest in rests),
+    *((SENTENCES[name].split(": ")[1], name) for name in "0123456789pqrst"),
 )
-# every known sentence has one of these, so other texts need no sentences
-ANCHORS = "(?i)licen[sc]e|permission is hereby|without any warranty"
-#: Where sentences end: at marks before white space or the end, and at line breaks.
-ENDS = r"[.!?]+[ \t\r\n]+|\n|[.!?]+\z"
+# the longer Apache notices must come before the name alone
+RULES = tuple(sorted(RULES, key=lambda rule: -len(rule[1])))
+# every known sentence has one of these words, so other texts need no sentences
+ANCHORS = "(?i)licen[sc]e|permission|warranty|redistribution|advertising"
+# letters are lowered, and the two marks below freed
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Steps that leave words with one character between them: ``|`` where a sentence ends for certain (marks
+#: before white space or the end), ``~`` where it may end (line breaks, ``;``, ``:``, after a URL), else a blank.
+STEPS = (
+    (r"\n[^a-z0-9\n]+", "\n"),  # indents, comment prefixes and bullets
+    (r"(://[^ \t\r\n]+)[ \t]+", "$1\n"), (r"[.!?]+(?:[ \t\r\n]+|\z)", "|"), (r"[;:](?=[ \t\r\n]|\z)|\n", "~"),
+    (r"[^a-z0-9~|]+", " "), (r" ?~[ ~]*", "~"), (r"[ ~]?\|[ ~|]*", "|"), (r"^[ ~|]+|[ ~|]+\z", ""))
+#: Numbers and letters of list items.
+ITEM = "[0-9]{1,2}|[a-h]|i{1,3}"
+
+
+def _words(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
 
 
 def known_sentences() -> dict[str, str]:
     """Normalised sentence -> identifier."""
-    return {re.sub("[^a-z0-9]+", " ", text.lower()).strip(): name for name, text in SENTENCES.items()}
+    return {_words(text): name for name, text in SENTENCES.items()}
+
+
+def _pattern(text: str, gap: str, between: str) -> str:
+    """Fits the words of ``text`` with ``gap`` between them; ``between`` stands for other words at a ``*``."""
+    return (gap + between).join(gap.join(_words(part).split()) for part in text.split("*"))
 
 
 def sentence_ids(text: Column) -> Column:
-    """A letter per known sentence and ``-`` per unknown one, in order; blank ones are left out."""
+    """A letter per known sentence and ``-`` per unknown one, in order; blank ones and item numbers are left out."""
     known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    plain = F.transform(F.split(F.translate(text, UPPER, LOWER), ENDS, -1),
-                        lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    names = F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(F.element_at(known, s), F.lit("-")))
+    # the longest sentence first, as others may begin alike
+    longest = sorted(SENTENCES.values(), key=lambda s: -len(_words(s)))
+    one = "|".join(_pattern(s, "[ ~]", "(?:[a-z0-9]+[ ~|]){0,14}") for s in longest)
+    marked = F.translate(text, UPPER + "~|", LOWER + "  ")
+    for pattern, new in STEPS:
+        marked = F.regexp_replace(marked, pattern, new)
+
+    def named(part: Column) -> Column:
+        plain = F.translate(part, "~|", "  ")
+        for s in (s for s in SENTENCES.values() if "*" in s):
+            plain = F.regexp_replace(plain, f"^{_pattern(s, ' ', '(?:.* )?')}$", _words(s))
+        return F.coalesce(F.element_at(known, plain), F.lit("-"))
+
+    parts = F.regexp_extract_all(marked, F.lit(f"(?:{one})(?![^~|])|[^~|]+"), F.lit(0))
+    names = F.transform(F.filter(parts, lambda s: ~s.rlike(f"^(?:{ITEM})$")), named)
     return F.when(text.rlike(ANCHORS), F.array_join(names, "")).otherwise("")
 
 
@@ -72,7 +156,7 @@ def licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, n_sentences, n_licenses, licenses`` of every row of ``docs`` (doc_id, text).
 
     ``licenses`` are the names of the rules that fit, in the order of the text, joined by commas;
-    ``n_sentences`` counts known sentences. Null, empty and other texts have none. Repeated rows and
+    ``n_sentences`` counts known sentences, wrapped or not. Null, empty and other texts have none. Repeated rows and
     null ids are returned like all others; other columns are ignored. Nothing is shuffled.
     """
     names = F.create_map(*[F.lit(x) for name, run in reversed(RULES) for x in (run, name)])

@@ -46,3 +46,75 @@ def test_no_known_sentence_is_skipped():
     assert len(set(runs)) == len(runs)
     # a rule never hides a longer one after it
     assert not any(late.startswith(early) for k, early in enumerate(runs) for late in runs[k + 1:])
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GNU = """This {what} is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU {name}General Public License as published by
+the Free Software Foundation{mark} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name}General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+NAMES = """
+3. Neither the name of Example Inc. nor the names of its contributors may be used
+   to endorse or promote products derived from this software without specific prior
+   written permission."""
+NOTICES = (
+    ("Apache-2.0-notice", 4, APACHE), ("MIT-text", 1, MIT),
+    ("GPL-3.0-or-later", 3, GNU.format(what="program", mark=":", name="", version="3")),
+    ("GPL-2.0-or-later", 3, GNU.format(what="program", mark=";", name="", version="2")),
+    ("LGPL-2.1-or-later", 3, GNU.format(what="library", mark=";", name="Lesser ", version="2.1")),
+    ("AGPL-3.0-or-later", 3, GNU.format(what="program", mark=":", name="Affero ", version="3")),
+    ("BSD-2-Clause", 3, BSD), ("BSD-3-Clause", 4, BSD + NAMES),
+    ("ISC", 1, """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    ("MPL-2.0", 1, """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("Apache-2.0", 1, "SPDX-License-Identifier: Apache-2.0"), ("BSD-3-Clause", 1, "SPDX-License-Identifier: BSD-3-Clause"),
+)
+
+
+def test_usual_copies_of_notices(spark):
+    rows, want = [], []
+    for name, count, text in NOTICES:
+        lines = text.split("\n")
+        shapes = [text, " ".join(x.strip() for x in lines if x), "\r\n".join(lines)]
+        shapes += ["\n".join(f"{prefix} {x}".rstrip() for x in lines) for prefix in ("#", "//", " *", "--", "!")]
+        shapes += [f"/*\n * Copyright 2020 A Person.\n *\n{shapes[5]}\n */\nint x;\n", f"Some words before.\n\n{text}\n\nSome after"]
+        for shape in shapes:
+            want.append((len(rows), count, 1, name))
+            rows.append((len(rows), shape))
+    got = [tuple(r) for r in licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == want
