@@ -43,33 +43,54 @@ def ranked_roles(
     )
 
 
+def role_entries(
+    roles: DataFrame, postings: DataFrame, scores: DataFrame, applications: DataFrame, rubric_version: str
+) -> DataFrame:
+    """Every row of ``roles`` with its posting, score and application columns."""
+    detail = postings.withColumnRenamed("id", "job_id").join(roles, "job_id")
+    score_columns = scores.where(F.col("rubric_version") == rubric_version).select(
+        "job_id", "profile_version", "scored_at",
+        *[c for c in ("dimensions", "uncertainty", "rationale", "retrieval_score")
+          if c in scores.columns],
+    )
+    apps = applications.select(
+        "job_id", F.col("status").alias("application_status"), "applied_at", "notes",
+        F.col("updated_at").alias("status_updated_at"),
+    )
+    return detail.join(score_columns, ["job_id", "profile_version"]).join(apps, "job_id", "left")
+
+
+def all_entries(
+    postings: DataFrame, scores: DataFrame, applications: DataFrame, rubric_version: str,
+    profile_version: str | None = None, include_dismissed: bool = False,
+) -> DataFrame:
+    """Every role with posting, score and application columns, in no order: what counts, filters,
+    sources and exports read. ``shortlist`` is a page of it."""
+    roles = ranked_roles(postings, scores, rubric_version, profile_version)
+    joined = role_entries(roles, postings, scores, applications, rubric_version)
+    return joined if include_dismissed else hide_dismissed(joined)
+
+
 def shortlist(
     postings: DataFrame, scores: DataFrame, applications: DataFrame, rubric_version: str,
     profile_version: str | None = None, limit: int = SHORTLIST_DEFAULT,
     include_dismissed: bool = False,
 ) -> DataFrame:
-    """Top roles with posting, score and application columns.
+    """One page of top roles with posting, score and application columns.
 
     The limit comes first and dismissed rows are hidden afterwards, so fewer rows may come back.
-    Full rows are fetched only for the ids that made the list.
+    Full rows are fetched only for the ids that made the list. A limit above the cap is refused.
     """
-    limit = min(limit, SHORTLIST_CAP)
+    if limit > SHORTLIST_CAP:
+        raise ValueError(f"limit {limit}; a page has at most {SHORTLIST_CAP} roles, all_entries has them all")
     top = ranked_roles(postings, scores, rubric_version, profile_version).orderBy(
         F.desc("rubric_score"), "job_id"
     ).limit(limit)
     # at most SHORTLIST_CAP ids: safe to broadcast whatever the tables hold
-    ids = F.broadcast(top)
-    detail = postings.withColumnRenamed("id", "job_id").join(ids, "job_id")
-    score_columns = scores.where(F.col("rubric_version") == rubric_version).select(
-        "job_id", "profile_version", "scored_at",
-        *[c for c in ("dimensions", "uncertainty", "rationale", "retrieval_score")
-          if c in scores.columns],
-    ).join(F.broadcast(top.select("job_id", "profile_version")), ["job_id", "profile_version"])
-    apps = applications.select(
-        "job_id", F.col("status").alias("application_status"), "applied_at", "notes",
-        F.col("updated_at").alias("status_updated_at"),
-    ).join(F.broadcast(top.select("job_id")), "job_id", "left_semi")
-    joined = detail.drop("profile_version").join(score_columns, "job_id").join(apps, "job_id", "left")
+    joined = role_entries(
+        F.broadcast(top), postings,
+        scores.join(F.broadcast(top.select("job_id", "profile_version")), ["job_id", "profile_version"], "left_semi"),
+        applications.join(F.broadcast(top.select("job_id")), "job_id", "left_semi"), rubric_version)
     if not include_dismissed:
         joined = hide_dismissed(joined)
     return joined.orderBy(F.desc("rubric_score"), "job_id")

@@ -39,6 +39,13 @@ def _listed(spark, sf, include_dismissed=True):
         limit=200, include_dismissed=include_dismissed)
 
 
+def _entries(spark, sf):
+    """All roles; the SQL of the queries on them still stops at 200 roles."""
+    return H.all_entries(
+        B.postings(spark, sf), B.scores(spark, sf), _applications(spark, sf), "rubric-v1", "p1",
+        include_dismissed=True)
+
+
 _COLUMNS = ("job_id", "rubric_score", "company", "title", "also_posted_in", "application_status", "notes")
 
 
@@ -56,20 +63,20 @@ def shortlist_visible(spark, sf):
 @query("stage_counts", _BASE + f"""
 SELECT {S.progress('application_status', 0)} AS stage, count(*) AS entries FROM listed GROUP BY 1""")
 def stage_counts(spark, sf):
-    return H.stage_counts(_listed(spark, sf))
+    return H.stage_counts(_entries(spark, sf))
 
 
 @query("filtered_shortlist", _BASE + f"""
 SELECT job_id, source, title FROM listed WHERE {S.progress('application_status', 0)} = 'waiting'
   AND (contains(lower(company), 'engineer') OR contains(lower(title), 'engineer'))""")
 def filtered_shortlist(spark, sf):
-    return H.filter_entries(_listed(spark, sf), stage="waiting", text=" Engineer ").select(
+    return H.filter_entries(_entries(spark, sf), stage="waiting", text=" Engineer ").select(
         "job_id", "source", "title")
 
 
 @query("shortlist_sources", _BASE + "SELECT DISTINCT source FROM listed")
 def shortlist_sources(spark, sf):
-    return H.distinct_sources(_listed(spark, sf))
+    return H.distinct_sources(_entries(spark, sf))
 
 
 @query("export_rows", _BASE + f"""
@@ -83,7 +90,7 @@ SELECT CAST(CAST(rubric_score AS BIGINT) AS VARCHAR) AS score, company, title, s
   CAST(job_id AS VARCHAR) AS job_id FROM listed""")
 def export_rows(spark, sf):
     from postgrain.sources.tables import export_text
-    return export_text(H.export_rows(_listed(spark, sf)))
+    return export_text(H.export_rows(_entries(spark, sf).orderBy(F.desc("rubric_score"), "job_id")))
 
 
 _LONG = " UNION ALL ".join(
