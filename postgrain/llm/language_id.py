@@ -16,7 +16,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postgrain.llm.shared import slices, utf8
@@ -100,30 +100,33 @@ def fit(docs: DataFrame, per_language: int = 400, dims: int = 1 << 12, rounds: i
         penalty: float = 1e-5, most_languages: int = 200) -> Model:
     """Learn from rows of ``docs`` (text, lang) that have a text and a language.
 
-    Of every language about ``per_language`` rows are taken, by a hash of the row; that bound on the
-    sample is the only one, and their profiles are made where the rows are. More languages than
-    ``most_languages`` are refused. Without any labelled row the model knows no language.
+    Of every language ``per_language`` different texts are taken, those with the smallest hashes, or all
+    of them where there are fewer; so copies do not count and every language is learned. Profiles are
+    made where the rows are. More languages than ``most_languages`` are refused. Without any labelled
+    row the model knows no language.
     """
-    rows = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"{len(counts)} languages; at most {most_languages} can be told apart")
-    if not counts:
+    rows = docs.where("text is not null and lang is not null").select(
+        "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("digest"))
+    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(most_languages + 1).collect())
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; at most {most_languages} can be told apart")
+    if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((dims + 1, 1), np.float32), np.ones(1))
-    languages = sorted(counts)
-    rate = F.element_at(F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, per_language / counts[x]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < rate)
+    # copies are folded and the smallest kept before either shuffle; at most per_language * most_languages digests remain
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
+    drawn = rows.groupBy("lang", "digest").agg(F.count("*").alias("copies")).select("lang", "digest", place.alias("place")).where(
+        F.col("place") <= per_language).select("lang", "digest")
+    sample = rows.join(F.broadcast(drawn), ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(
+        F.min("text").alias("text")).select("text", "lang")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [x.tobytes() for x in ngram_profiles(batch["text"], dims).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(found, pa.binary())], names=["lang", "profile"])
 
-    # copies of one text fall together; no more than twice the bound reaches the driver
-    taken = sample.mapInArrow(profiles, "lang string, profile binary").limit(2 * per_language * len(languages)).collect()
-    seen = [x for x in languages if any(r.lang == x for r in taken)] or languages[:1]
-    taken = [r for r in taken if r.lang in seen]
+    # one row of each drawn text; sorted, so that the model does not depend on where rows are
+    taken = sorted(sample.mapInArrow(profiles, "lang string, profile binary").collect(), key=lambda r: (r.lang, bytes(r.profile)))
+    seen = languages
     code = codewords(len(seen))
     if len(seen) < 2:
         return Model(seen, code, np.zeros((dims + 1, 1), np.float32), np.ones(1))

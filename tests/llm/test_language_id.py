@@ -60,3 +60,16 @@ def test_odd_rows(spark):
         assert [r.lang_pred for r in got][:3] == ["und"] * 3 and got[0].score == 0
         assert {r.lang_pred for r in got[3:]} == {"und" if not model.languages else "aa"}
     assert predict(docs.limit(0), model).collect() == []
+
+
+def test_a_language_of_few_large_groups_is_learned(spark):
+    rng = random.Random(9)
+    rows = [(k, prose(rng, lang, 20), lang, 1) for lang in ("aa", "bb") for k in range(60)]
+    # every copy of the one text of each of these has its own row, far more than the bound
+    rows += [(k, text, lang, 1) for lang in ("cc", "dd", "ee", "ff", "gg") for text in [prose(rng, lang, 40)] for k in range(400)]
+    model = fit(table(spark, rows).repartition(5), per_language=20, dims=1 << 10)
+    assert model.languages == sorted(SOUNDS)
+    docs = table(spark, [(k, prose(rng, lang, 40), lang, 1) for k in range(20) for lang in SOUNDS])
+    got = predict(docs, model, keep={"lang": docs["lang"]}).collect()
+    for lang in SOUNDS:
+        assert np.mean([r.lang_pred == lang for r in got if r.lang == lang]) > 0.8, lang
