@@ -93,6 +93,15 @@ def decontaminate(
     return docs.select("doc_id", "text").mapInArrow(_searcher(blocks, window), _SCHEMA)
 
 
+def without_passages(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 2 << 20,
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, in which ``decontaminate`` finds no hit: each row by its own
+    text, whatever its doc_id, in the pass that searches it."""
+    blocks = list(_blocks(benchmark, block_bytes))
+    return docs.mapInArrow(_searcher(blocks, window, rows_without_hits=True), docs.schema)
+
+
 _SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items array<long>, "
            "spans array<array<long>>, items_sha256 string")
 
@@ -115,7 +124,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
         yield spark.sparkContext.broadcast(block)
 
 
-def _searcher(blocks: list, window: int):
+def _searcher(blocks: list, window: int, rows_without_hits: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = compiled(blocks[0].value, window) if len(blocks) == 1 else None
         # several blocks are compiled again for each slice, so slices grow with them
@@ -129,7 +138,10 @@ def _searcher(blocks: list, window: int):
                         for start, pattern in table.find(words):
                             spans.append((start, start + table.length))
                             mine |= table.owners[pattern]
-            yield _summary(batch["doc_id"], split, owners, [_merged(x) for x in hits])
+            if rows_without_hits:
+                yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
+            else:
+                yield _summary(batch["doc_id"], split, owners, [_merged(x) for x in hits])
 
     return run
 

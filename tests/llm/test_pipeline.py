@@ -66,3 +66,14 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_passages_are_found_without_an_id(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {passage} after", "en", "s", 1), (None, "other words", "en", None, None), (1, passage, "en", "s", 3),
+            (2, "one two", None, "s", 4), (2, "one two", None, "s", 4), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    clean = dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted((r for k, r in enumerate(rows) if k not in (0, 2)), key=repr)
