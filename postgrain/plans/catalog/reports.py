@@ -59,7 +59,7 @@ UNION ALL SELECT 7, CASE WHEN n > 250 THEN 'warn' ELSE 'ok' END, 'unscored backl
 UNION ALL SELECT 8, 'warn', 'run #' || id || ' errors', '2 rubric calls failed' FROM
   (SELECT * FROM runlog WHERE status <> 'running' ORDER BY id DESC LIMIT 1) WHERE error IS NOT NULL
 UNION ALL SELECT 9, CASE WHEN n = 0 THEN 'warn' ELSE 'ok' END, 'shortlist', n || ' scored entries at the current profile'
-  FROM (SELECT least(500, count(DISTINCT company_normalized || '|' || jobs.description_hash)) AS n FROM scores
+  FROM (SELECT count(DISTINCT company_normalized || '|' || jobs.description_hash) AS n FROM scores
     JOIN jobs ON jobs.id = job_id WHERE hard_filter_pass AND rubric_score IS NOT NULL AND profile_version = 'p1'
     AND status = 'active')""")
 def health_report(spark, sf):

@@ -20,11 +20,11 @@ LISTED = """ranked AS (
   FROM scores s JOIN postings p ON p.id = s.job_id
   WHERE s.profile_version = 'p1' AND s.hard_filter_pass AND s.rubric_score IS NOT NULL AND p.status = 'active'
   WINDOW w AS (PARTITION BY p.company_normalized, p.description_hash)
-), top AS (
-  SELECT * FROM ranked WHERE place = 1 ORDER BY rubric_score DESC, job_id LIMIT 200
-), listed AS (
+), entries AS (
   SELECT t.*, a.status AS application_status, a.applied_at, a.notes, a.updated_at AS status_updated_at
-  FROM top t LEFT JOIN applications a ON a.job_id = t.job_id
+  FROM ranked t LEFT JOIN applications a ON a.job_id = t.job_id WHERE t.place = 1
+), page AS (
+  SELECT * FROM entries ORDER BY rubric_score DESC, job_id LIMIT 200
 )"""
 _BASE = S.with_(S.POSTINGS, S.SCORES, S.EVENTS, LISTED)
 
@@ -40,7 +40,6 @@ def _listed(spark, sf, include_dismissed=True):
 
 
 def _entries(spark, sf):
-    """All roles; the SQL of the queries on them still stops at 200 roles."""
     return H.all_entries(
         B.postings(spark, sf), B.scores(spark, sf), _applications(spark, sf), "rubric-v1", "p1",
         include_dismissed=True)
@@ -49,32 +48,32 @@ def _entries(spark, sf):
 _COLUMNS = ("job_id", "rubric_score", "company", "title", "also_posted_in", "application_status", "notes")
 
 
-@query("shortlist", _BASE + f"SELECT {', '.join(_COLUMNS)} FROM listed")
+@query("shortlist", _BASE + f"SELECT {', '.join(_COLUMNS)} FROM page")
 def shortlist(spark, sf):
     return _listed(spark, sf).select(*_COLUMNS)
 
 
 @query("shortlist_visible", _BASE + f"""
-SELECT {', '.join(_COLUMNS)} FROM listed WHERE application_status IS DISTINCT FROM 'dismissed'""")
+SELECT {', '.join(_COLUMNS)} FROM page WHERE application_status IS DISTINCT FROM 'dismissed'""")
 def shortlist_visible(spark, sf):
     return _listed(spark, sf, include_dismissed=False).select(*_COLUMNS)
 
 
 @query("stage_counts", _BASE + f"""
-SELECT {S.progress('application_status', 0)} AS stage, count(*) AS entries FROM listed GROUP BY 1""")
+SELECT {S.progress('application_status', 0)} AS stage, count(*) AS entries FROM entries GROUP BY 1""")
 def stage_counts(spark, sf):
     return H.stage_counts(_entries(spark, sf))
 
 
 @query("filtered_shortlist", _BASE + f"""
-SELECT job_id, source, title FROM listed WHERE {S.progress('application_status', 0)} = 'waiting'
+SELECT job_id, source, title FROM entries WHERE {S.progress('application_status', 0)} = 'waiting'
   AND (contains(lower(company), 'engineer') OR contains(lower(title), 'engineer'))""")
 def filtered_shortlist(spark, sf):
     return H.filter_entries(_entries(spark, sf), stage="waiting", text=" Engineer ").select(
         "job_id", "source", "title")
 
 
-@query("shortlist_sources", _BASE + "SELECT DISTINCT source FROM listed")
+@query("shortlist_sources", _BASE + "SELECT DISTINCT source FROM entries")
 def shortlist_sources(spark, sf):
     return H.distinct_sources(_entries(spark, sf))
 
@@ -87,7 +86,7 @@ SELECT CAST(CAST(rubric_score AS BIGINT) AS VARCHAR) AS score, company, title, s
   coalesce(title_family, '') AS title_family, coalesce(seniority, '') AS seniority,
   coalesce(salary_text, '') AS salary, CAST(also_posted_in AS VARCHAR) AS also_posted_in,
   coalesce({S.iso('posted_at')}, '') AS posted_at, {S.iso('scored_at')} AS scored_at, url,
-  CAST(job_id AS VARCHAR) AS job_id FROM listed""")
+  CAST(job_id AS VARCHAR) AS job_id FROM entries""")
 def export_rows(spark, sf):
     from postgrain.sources.tables import export_text
     return export_text(H.export_rows(_entries(spark, sf).orderBy(F.desc("rubric_score"), "job_id")))
