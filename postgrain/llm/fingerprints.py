@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from postgrain.llm.shared import bucket_of, shuffle_partitions, split_points
+from postgrain.llm.shared import bucket_of, by_place, mapped, picked, position, shuffle_partitions, slices, split_points, texts
 from postgrain.llm.wordhash import mixed, powers
 
 SHORTEST, USUAL, LONGEST = 16, 32, 128
@@ -91,23 +91,22 @@ def containment(inner: tuple[np.ndarray, np.ndarray], outer: tuple[np.ndarray, n
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Every column of ``docs`` that is not named below, and per row of ``text``: ``n_chars``
-    (code points), ``fingerprint`` and ``n_chunks``. Null text: as the empty text."""
-    schema = "n_chars long, fingerprint string, n_chunks int"
-    names = [f.name for f in docs.schema if f.name.lower() not in ("n_chars", "fingerprint", "n_chunks")]
-    kept = docs.select(*(F.col(f"`{n}`") for n in names))
-    added = pa.schema([("n_chars", pa.int64()), ("fingerprint", pa.string()), ("n_chunks", pa.int32())])
+    (code points), ``fingerprint`` and ``n_chunks``. Null text: as the empty text. Columns may have
+    any name; repeated rows are all returned, an empty table gives an empty result."""
+    new = StructType.fromDDL("n_chars long, fingerprint string, n_chunks int")
+    places = [k for k, f in enumerate(docs.schema) if f.name.lower() not in new.names]
+    at = places.index(position(docs, "text"))
+    kept = by_place(docs).select(*(F.col(f"c{k}") for k in places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [x or "" for x in batch.column("text").to_pylist()]
+        for batch in slices(batches, at):
+            text = texts(batch, at)
             sets = [chunk_set(x) for x in text]
-            new = [pa.array([len(x) for x in text], pa.int64()),
-                   pa.array([written(x) for x in sets], pa.string()),
-                   pa.array([len(x[0]) for x in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *new], schema=pa.schema([*batch.schema, *added]))
+            added = [pa.array([len(x) for x in text], pa.int64()), pa.array([written(x) for x in sets], pa.string()),
+                     pa.array([len(x[0]) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[str(k) for k in range(len(places) + 3)])
 
-    return kept.mapInArrow(run, StructType([*kept.schema, *StructType.fromDDL(schema)]))
+    return mapped(kept, run, StructType([*(docs.schema[k] for k in places), *new]))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -123,7 +122,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     one doc_id: ordered by their text. Equal rows follow one another. Other columns are ignored; an
     empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = picked(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = shuffle_partitions(docs.sparkSession)
     points = split_points(rows, "doc_id", buckets)
     count = len(points) + 1

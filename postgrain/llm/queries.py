@@ -15,6 +15,7 @@ from postgrain.llm import (
     language_id,
     length_buckets,
     license_sentences,
+    merkle_manifest,
     quality_fm,
     secret_ledger,
     token_blocks,
@@ -108,6 +109,12 @@ def op10_license_rules(spark: SparkSession, folder: str) -> DataFrame:
     return license_sentences.licenses(_table(spark, folder, "documents"))
 
 
+@_query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    without_breaks = F.when(_remainder(2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return merkle_manifest.manifest(_table(spark, folder, "documents"), F.coalesce(without_breaks, "text"))
+
+
 # --- checking SQL -------------------------------------------------------------------------------
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -204,3 +211,38 @@ SELECT page_id, bytes::BIGINT AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM z"""
+
+_DEPTH = 16  # of the unrolled SQL: 3**16 rows a source and as many sources
+
+
+def _merkle_sql() -> str:
+    """Levels as tables: ``l{k}`` has a source's nodes, ``t{k}`` those above the subroots, ``c{k}`` each row's way up."""
+    field = "coalesce(octet_length(encode(({0})::VARCHAR)) || ':' || ({0})::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) "
+           "ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)")
+    out = [f"""d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, {leaf('text')} AS leaf,
+  CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS other FROM documents),
+l0 AS MATERIALIZED (SELECT r, coalesce('s' || source, '') AS g, row_number() OVER w - 1 AS pos, leaf AS h,
+  count(*) OVER (PARTITION BY source) AS n FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+c0 AS MATERIALIZED (SELECT d.*, g, pos, n, '' AS proof, other AS fold FROM d JOIN l0 USING (r))"""]
+
+    def level(now: str, above: str, way: str, onward: str) -> str:
+        return f"""r_{now} AS MATERIALIZED (SELECT g, pos // 3 AS run, any_value(n) AS n, list(h ORDER BY pos) AS hs FROM {now} GROUP BY 1, 2),
+{above} AS MATERIALIZED (SELECT g, run AS pos, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, (n + 2) // 3 AS n FROM r_{now}),
+{onward} AS MATERIALIZED (SELECT {way}.* EXCLUDE (pos, n, proof, fold), {way}.pos // 3 AS pos, ({way}.n + 2) // 3 AS n,
+  CASE WHEN {way}.n > 1 THEN proof || array_to_string(list_filter(hs, lambda x, i: i <> {way}.pos % 3 + 1), '') ELSE proof END AS proof,
+  CASE WHEN {way}.n > 1 THEN sha256(array_to_string(list_transform(hs, lambda x, i: CASE WHEN i = {way}.pos % 3 + 1 THEN fold ELSE x END), '')) ELSE fold END AS fold
+  FROM {way} JOIN r_{now} q ON q.g = {way}.g AND q.run = {way}.pos // 3)"""
+
+    out += [level(f"l{k}", f"l{k + 1}", f"c{k}", f"c{k + 1}") for k in range(_DEPTH)]
+    out.append(f"""t0 AS MATERIALIZED (SELECT 'all' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, h, count(*) OVER () AS n, g AS name FROM l{_DEPTH}),
+u0 AS MATERIALIZED (SELECT c.r, c.doc_id, c.leaf, t0.h AS subroot, t0.g, t0.pos, t0.n, c.proof, c.fold FROM c{_DEPTH} c JOIN t0 ON t0.name = c.g)""")
+    out += [level(f"t{k}", f"t{k + 1}", f"u{k}", f"u{k + 1}") for k in range(_DEPTH)]
+    return f"""WITH {", ".join(out)}
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.h AS verified
+FROM u{_DEPTH} u JOIN t{_DEPTH} t ON t.g = u.g"""
+
+
+ORACLE["op11_merkle_manifest"] = _merkle_sql()

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # freed Arrow buffers go back to the system: workers live on and share an executor's memory
 pa.set_memory_pool(pa.system_memory_pool())
@@ -23,7 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has processes of their own
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = "file://" + tempfile.mkdtemp(prefix="postgrain-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -52,6 +54,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- columns of any name ------------------------------------------------------------------------
+
+
+def position(df: DataFrame, name: str) -> int:
+    """Where the column ``name`` is: an equal name first, else one that differs in case alone."""
+    names = df.columns
+    if name in names:
+        return names.index(name)
+    found = [k for k, n in enumerate(names) if n.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name} among {names}")
+    return found[0]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: no name clashes with another."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` of ``df``, found by ``position``, whatever its others are called."""
+    return by_place(df).select(*(F.col(f"c{position(df, n)}").alias(n) for n in names))
+
+
+def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name, on both sides: tasks see c0, c1, ..."""
+    plain = [f"c{k}" for k in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+
+    kinds = StructType([StructField(c, f.dataType) for c, f in zip(plain, schema, strict=True)])
+    return by_place(df).mapInArrow(renamed, kinds).toDF(*schema.names)
+
+
 # --- document order -----------------------------------------------------------------------------
 
 
@@ -112,7 +150,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that arrays derived from the text stay small."""
     for batch in batches:
         _, offsets = utf8(batch.column(column))
@@ -124,5 +162,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             start = stop
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts(batch: pa.RecordBatch, column: str | int = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
