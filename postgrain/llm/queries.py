@@ -20,6 +20,7 @@ from postgrain.llm import (
     secret_ledger,
     token_blocks,
     warc_members,
+    whitening,
 )
 from postgrain.llm.shared import short_batches, staged
 
@@ -115,6 +116,11 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.manifest(_table(spark, folder, "documents"), F.coalesce(without_breaks, "text"))
 
 
+@_query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 # --- checking SQL -------------------------------------------------------------------------------
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
