@@ -16,6 +16,7 @@ from postgrain.llm import (
     length_buckets,
     license_sentences,
     merkle_manifest,
+    page_difference,
     quality_fm,
     secret_ledger,
     token_blocks,
@@ -121,6 +122,11 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))
 
 
+@_query
+def op13_page_difference(spark: SparkSession, folder: str) -> DataFrame:
+    return page_difference.main_texts(_table(spark, folder, "pages"))
+
+
 # --- checking SQL -------------------------------------------------------------------------------
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -252,3 +258,12 @@ FROM u{_DEPTH} u JOIN t{_DEPTH} t ON t.g = u.g"""
 
 
 ORACLE["op11_merkle_manifest"] = _merkle_sql()
+
+# the given pages mark their articles, so SQL can read the same text from the markup alone
+ORACLE["op13_page_difference"] = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(
+  replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&#39;', ''''), '&amp;?', '&', 'g')) AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
