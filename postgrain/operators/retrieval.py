@@ -50,7 +50,7 @@ def passing_ids(postings: DataFrame, scores: DataFrame) -> DataFrame:
 
 def recall_paths(
     postings: DataFrame, scores: DataFrame, profile: Profile, limit: int | None = None,
-    stemmed: bool = False,
+    stemmed: bool = True,
 ) -> DataFrame:
     """Candidates with their recall paths in fixed order and best text score."""
     passing = passing_ids(postings, scores)
@@ -118,7 +118,7 @@ def score_candidates(
 
 def retrieve(
     postings: DataFrame, scores: DataFrame, profile: Profile, limit: int | None = None,
-    recall_limit: int | None = None, stemmed: bool = False,
+    recall_limit: int | None = None, stemmed: bool = True,
 ) -> DataFrame:
     """Scored candidates, best first; all of them unless ``limit`` is given."""
     candidates = recall_paths(postings, scores, profile, recall_limit, stemmed)

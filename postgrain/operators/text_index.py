@@ -3,6 +3,9 @@
 Texts are tokenised once, in the scan: a document leaves it as its length and the places where
 query words stand. A phrase occurs where all its words agree on the position it would start at,
 so phrase frequency is one aggregation over those places, not a chain of position joins.
+
+Words are compared by their stems. The stem of a document word is an expression of the scan; only
+words that begin like a query stem are stemmed, so no vocabulary is built.
 """
 
 from __future__ import annotations
@@ -11,20 +14,18 @@ import re
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from postgrain.functions.fanout import explode_rows
-from postgrain.functions.stemming import porter_stem
+from postgrain.functions.fanout import explode_rows, posexplode_rows
+from postgrain.functions.stemming import common_start, porter_stem, stem_column
 from postgrain.functions.text import index_tokens
 from postgrain.rules import constants as C
-from postgrain.session import bounded, checkpointed
+from postgrain.session import checkpointed
 
 FIELDS = ("title", "company", "description")
-PHRASE_LIMIT = 2_000
-VOCABULARY_LIMIT = 100_000
+# More query words than this are joined as a table; fewer are literals of the scan.
+INLINE_WORDS = 4_000
 _HITS = "array<struct<phrase:int,offset:int,field:int,start:int>>"
 
 
@@ -52,11 +53,6 @@ def term_statistics(docs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFram
     )
 
 
-@F.pandas_udf(StringType())
-def stem(words: pd.Series) -> pd.Series:
-    return words.map(porter_stem)
-
-
 def query_words(phrases: Sequence[str]) -> list[tuple[int, int, str]]:
     """(phrase number, offset, token), with tokens split the way documents are."""
     out = []
@@ -69,45 +65,39 @@ def query_words(phrases: Sequence[str]) -> list[tuple[int, int, str]]:
     return out
 
 
-def stem_variants(docs: DataFrame, words: Sequence[str], fields: Sequence[str] = FIELDS) -> dict:
-    """Query word -> document words that share its stem.
-
-    Each distinct document word is stemmed once; only the few that match a query stem come back.
-    """
-    stems = {w: porter_stem(w) for w in words}
-    vocabulary = explode_rows(
-        docs, F.array_distinct(F.flatten(F.array(*map(_tokens, fields)))), "word"
-    ).distinct()
-    hits = (
-        vocabulary.withColumn("stem", stem("word"))
-        .where(F.col("stem").isin(*sorted(set(stems.values()))))
-        .limit(VOCABULARY_LIMIT + 1).collect()
-    )
-    bounded(hits, VOCABULARY_LIMIT, "matching vocabulary")
-    by_stem: dict[str, list[str]] = {}
-    for row in hits:
-        by_stem.setdefault(row.stem, []).append(row.word)
-    return {w: sorted(by_stem.get(s, [])) for w, s in stems.items()}
+def _begins_like(token: Column, stems: Sequence[str]) -> Column:
+    """Whether a word can have one of the stems: sets of beginnings, by their length (up to three)."""
+    sizes: dict[int, set[str]] = {}
+    for stem in stems:
+        start = common_start(stem)[:3]
+        sizes.setdefault(len(start), set()).add(start)
+    if 0 in sizes:
+        return F.lit(True)
+    out = F.lit(False)
+    for size, starts in sorted(sizes.items()):
+        out = out | F.substring(token, 1, size).isin(*sorted(starts))
+    return out
 
 
 def phrase_scan(
-    docs: DataFrame, phrases: Sequence[str], fields: Sequence[str] = FIELDS, stemmed: bool = False
+    docs: DataFrame, phrases: Sequence[str], fields: Sequence[str] = FIELDS, stemmed: bool = True
 ) -> DataFrame:
     """(doc_id, dl, hits) for every document: its length and the places of query words.
 
-    One pass over the texts, no shuffle. Phrases are numbered by their place in ``phrases``.
+    One pass over the texts, no shuffle. Phrases are numbered by their place in ``phrases``. Words
+    count as equal when their stems are, or with ``stemmed=False`` when they are.
     """
-    words = query_words(bounded(phrases, PHRASE_LIMIT, "phrases"))
-    variants = stem_variants(docs, [w for *_, w in words], fields) if stemmed and words else None
-    slots: dict[str, list[tuple[int, int]]] = {}
-    for number, offset, word in words:
-        for form in ([word] if variants is None else variants[word]):
-            slots.setdefault(form, []).append((number, offset))
+    words = [(p, o, porter_stem(w) if stemmed else w) for p, o, w in query_words(phrases)]
     names = [f"_t{n}" for n in range(len(fields))]
     tokenised = docs.select("doc_id", *[_tokens(f).alias(n) for f, n in zip(fields, names)])
     length = sum((F.size(n) for n in names[1:]), F.size(names[0])).cast("bigint")
-    if not slots:
+    if not words:
         return tokenised.select("doc_id", length.alias("dl"), F.array().cast(_HITS).alias("hits"))
+    if len(words) > INLINE_WORDS:
+        return _joined_scan(tokenised, names, length, words, stemmed)
+    slots: dict[str, list[tuple[int, int]]] = {}
+    for number, offset, word in words:
+        slots.setdefault(word, []).append((number, offset))
     lookup = F.create_map(*[
         x for form, uses in slots.items() for x in (
             F.lit(form),
@@ -117,10 +107,11 @@ def phrase_scan(
     ])
 
     def places(name: str, field: int) -> Column:
+        likely = (lambda t: _begins_like(t, list(slots))) if stemmed else (lambda t: t.isin(*slots))
         found = F.filter(
             F.transform(F.col(name), lambda t, i: F.when(
-                t.isin(*slots), F.struct(t.alias("token"), i.alias("pos")))),
-            lambda p: p.isNotNull(),
+                likely(t), F.struct((stem_column(t) if stemmed else t).alias("token"), i.alias("pos")))),
+            lambda p: p.isNotNull() & p["token"].isin(*slots),
         )
         return F.flatten(F.transform(found, lambda p: F.transform(
             F.element_at(lookup, p["token"]),
@@ -134,6 +125,21 @@ def phrase_scan(
     return tokenised.select("doc_id", length.alias("dl"), hits.alias("hits"))
 
 
+def _joined_scan(tokenised: DataFrame, names, length: Column, words, stemmed: bool) -> DataFrame:
+    """The same for any number of query words: tokens are rows that meet a table of the words."""
+    spark = tokenised.sparkSession
+    table = spark.createDataFrame(words, "phrase int, offset int, word string")
+    fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(name).alias("tokens")) for n, name in enumerate(names)])
+    spread = explode_rows(tokenised, fields, "_f", "doc_id")
+    tokens = posexplode_rows(spread, "_f.tokens", "pos", "token", "doc_id", F.col("_f.field").alias("field"))
+    word = stem_column(F.col("token")) if stemmed else F.col("token")
+    hits = tokens.withColumn("word", word).join(table, "word").groupBy("doc_id").agg(F.collect_list(F.struct(
+        "phrase", "offset", "field", (F.col("pos") - F.col("offset")).alias("start"))).alias("hits"))
+    lengths = tokenised.select("doc_id", length.alias("dl"))
+    return lengths.join(hits, "doc_id", "left").withColumn(
+        "hits", F.coalesce(F.col("hits").cast(_HITS), F.array().cast(_HITS)))
+
+
 def phrase_frequencies(scan: DataFrame, phrases: Sequence[str]) -> DataFrame:
     """(doc_id, dl, phrase, tf) from a scan: occurrences of each phrase, never across fields.
 
@@ -142,16 +148,20 @@ def phrase_frequencies(scan: DataFrame, phrases: Sequence[str]) -> DataFrame:
     lengths: dict[int, int] = {}
     for number, _, _ in query_words(phrases):
         lengths[number] = lengths.get(number, 0) + 1
-    size = F.element_at(
-        F.create_map(*[F.lit(x) for pair in (lengths or {0: 1}).items() for x in pair]),
-        F.col("phrase"),
-    )
-    return (
+    places = (
         scan.select("doc_id", "dl", F.inline("hits")).repartition("doc_id")
         .groupBy("doc_id", "dl", "phrase", "field", "start").agg(F.count("*").alias("n"))
-        .where(F.col("n") == size)
-        .groupBy("doc_id", "dl", "phrase").agg(F.count("*").alias("tf"))
     )
+    if len(lengths) > INLINE_WORDS:
+        sizes = scan.sparkSession.createDataFrame(list(lengths.items()), "phrase int, size int")
+        whole = places.join(sizes, "phrase").where("n = size")
+    else:
+        size = F.element_at(
+            F.create_map(*[F.lit(x) for pair in (lengths or {0: 1}).items() for x in pair]),
+            F.col("phrase"),
+        )
+        whole = places.where(F.col("n") == size)
+    return whole.groupBy("doc_id", "dl", "phrase").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(scan: DataFrame) -> DataFrame:
@@ -164,28 +174,27 @@ def rank_scan(
 ) -> DataFrame:
     """(doc_id, rank) of documents holding at least one of the wanted phrases; smaller is better.
 
-    Document counts per phrase and corpus totals are tiny aggregates read as scalar subqueries.
+    Corpus totals are one row, read as a scalar subquery.
     """
     tf = phrase_frequencies(scan, phrases)
     if wanted is not None:
         tf = tf.where(F.col("phrase").isin(*wanted) if wanted else F.lit(False))
-    counts = tf.groupBy("phrase").agg(F.count("*").alias("df")).agg(
-        F.map_from_entries(F.collect_list(F.struct("phrase", "df"))).alias("m")
-    )
+    # a row per phrase: joined, so that their number is free
+    counts = tf.groupBy("phrase").agg(F.count("*").alias("_df"))
     stats = corpus_stats(scan).select(F.struct("docs", "tokens").alias("s"))
     k1, b = C.BM25_K1, C.BM25_B
-    n = F.element_at(F.col("_df"), F.col("phrase"))
+    n = F.col("_df")
     total, average = F.col("_s.docs"), F.col("_s.tokens") / F.col("_s.docs")
     idf = F.greatest(F.log((total - n + 0.5) / (n + 0.5)), F.lit(C.BM25_IDF_FLOOR))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("dl") / average))
     return (
-        tf.withColumns({"_s": stats.scalar(), "_df": counts.scalar()})
+        tf.join(counts, "phrase").withColumn("_s", stats.scalar())
         .groupBy("doc_id").agg((-F.sum(idf * weight)).alias("rank"))
     )
 
 
 def bm25(
-    docs: DataFrame, phrases: Sequence[str], fields: Sequence[str] = FIELDS, stemmed: bool = False
+    docs: DataFrame, phrases: Sequence[str], fields: Sequence[str] = FIELDS, stemmed: bool = True
 ) -> DataFrame:
     """BM25 of an OR of phrases over all of ``docs``; filter the result, not the input."""
     cleaned = clean_phrases(phrases)

@@ -58,7 +58,7 @@ def collect(
 def score(
     postings: DataFrame, scores: DataFrame, profile: Profile, scorer: Callable, *,
     prompt_version: str, model_id: str, now: Column, budget: float | None = None,
-    rubric_version: str = RUBRIC_VERSION, stemmed: bool = False,
+    rubric_version: str = RUBRIC_VERSION, stemmed: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Refresh verdicts, retrieval and, within the budget, rubric scores of one profile.
 
