@@ -14,10 +14,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from postgrain.llm.shared import SLICE_BYTES, slices
+from postgrain.llm.shared import SLICE_BYTES, mapped, picked, position, slices, staged
 
 #: Fixed: words of both tables, after A-Z are lowered (bytes.lower() lowers ASCII letters alone).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -82,70 +85,81 @@ def decontaminate(
     (item_id, text) with an occurring window. A window is ``window`` consecutive item words; an item
     of fewer words is one window. A word inside any occurrence counts as hit once.
 
-    Items are searched in blocks of at most ``block_bytes`` bytes of text (or one item), so that the
-    tables of a task stay bounded; every block goes over each batch of documents in the same stage,
-    and no document moves. Null or wordless texts have no words, wordless items no windows. Items of one
-    text all count; rows of one item_id are one item; a null item_id is no item but its words still
-    count as hit. Repeated documents are all returned. Other columns are ignored; empty tables give
-    no hits or no rows.
+    Items are stored in the shared folder in blocks of about ``block_bytes`` bytes of text (one item at least),
+    and each task reads one block at a time from there: neither the driver nor a broadcast holds them. Every
+    block goes over each batch of documents in the same stage, and no document moves. Null or wordless texts have no
+    words, wordless items no windows. Items of one text all count; rows of one item_id are one item; a null
+    item_id is no item but its words still count as hit. Repeated documents are all returned. Other columns
+    are ignored; empty tables give no hits or no rows.
     """
-    blocks = list(_blocks(benchmark, block_bytes))
-    return docs.select("doc_id", "text").mapInArrow(_searcher(blocks, window), _SCHEMA)
+    run = _searcher(_stored(benchmark, block_bytes), window, 1, _summary)
+    return picked(docs, "doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
 def without_passages(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 2 << 20,
 ) -> DataFrame:
-    """The rows of ``docs``, with all columns, in which ``decontaminate`` finds no hit: each row by its own
-    text, whatever its doc_id, in the pass that searches it."""
-    blocks = list(_blocks(benchmark, block_bytes))
-    return docs.mapInArrow(_searcher(blocks, window, rows_without_hits=True), docs.schema)
+    """The rows of ``docs``, with all columns whatever their names, in which ``decontaminate`` finds no hit: each row
+    by its own text, whatever its doc_id, in the pass that searches it. Null texts stay, repeated rows go or stay
+    together, an empty table stays empty."""
+    run = _searcher(_stored(benchmark, block_bytes), window, position(docs, "text"), _unhit)
+    return mapped(docs, run, StructType(docs.schema.fields))
 
 
 _SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items array<long>, "
            "spans array<array<long>>, items_sha256 string")
+_HELD = 4  # compiled blocks that a task keeps
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
-    """The items as broadcast lists of bounded size."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    sized = items.withColumn("size", F.octet_length("text"))
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    rows = sized.toLocalIterator() if total > block_bytes else sized.collect()
-    block, size = [], 0
-    for row in rows:
-        if block and size + row.size > block_bytes:
-            yield spark.sparkContext.broadcast(block)
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += row.size
-    if block:
-        yield spark.sparkContext.broadcast(block)
-
-
-def _searcher(blocks: list, window: int, rows_without_hits: bool = False):
+def _stored(benchmark: DataFrame, block_bytes: int) -> list[str]:
+    """Files of the items, a block each: a name per block is all that the driver knows of them."""
+    items = picked(benchmark, "item_id", "text").where("text is not null").select(
+        F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = -(-total // block_bytes)
+    if not blocks:
+        return []
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    stored = staged(dealt.repartitionById(blocks, F.col("block")).select("item_id", "text"), "items")
+    return sorted(stored.inputFiles())
+
+
+def _compiled_file(path: str, window: int) -> list[Patterns]:
+    filesystem, name = pafs.FileSystem.from_uri(path)
+    with filesystem.open_input_file(name) as file:
+        rows = pq.read_table(file, columns=["item_id", "text"])
+    return compiled(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)), window)
+
+
+def _searcher(files: list[str], window: int, text: int, result):
+    """``result(batch, words, items, spans)`` of every batch; ``text`` is the place of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = compiled(blocks[0].value, window) if len(blocks) == 1 else None
-        # several blocks are compiled again for each slice, so slices grow with them
-        for batch in slices(batches, size=SLICE_BYTES * min(8, len(blocks) or 1)):
-            split = [words_of(x) for x in batch["text"].to_pylist()]
+        held: dict[str, list[Patterns]] = {}
+        # blocks that are not kept are read again for each slice, so slices grow with them
+        for batch in slices(batches, text, SLICE_BYTES * min(32, max(1, 4 * (len(files) - _HELD)))):
+            split = [words_of(x) for x in batch.column(text).to_pylist()]
             owners: list[set] = [set() for _ in split]
             hits: list[list] = [[] for _ in split]
-            for block in blocks:  # the tables of one block at a time
-                for table in only if only is not None else compiled(block.value, window):
+            for file in files:
+                tables = held.get(file)
+                if tables is None:
+                    tables = _compiled_file(file, window)
+                    if len(held) < _HELD:
+                        held[file] = tables
+                for table in tables:
                     for words, mine, spans in zip(split, owners, hits, strict=True):
                         for start, pattern in table.find(words):
                             spans.append((start, start + table.length))
                             mine |= table.owners[pattern]
-            if rows_without_hits:
-                yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
-            else:
-                yield _summary(batch["doc_id"], split, owners, [_merged(x) for x in hits])
+            yield result(batch, split, owners, hits)
 
     return run
 
 
+def _unhit(batch: pa.RecordBatch, words: list[list], owners: list[set], hits: list[list]) -> pa.RecordBatch:
+    return batch.filter(pa.array([not x for x in hits], pa.bool_()))
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for start, end in sorted(spans):
@@ -156,11 +170,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _summary(ids: pa.Array, words: list[list], owners: list[set], spans: list[list]) -> pa.RecordBatch:
+def _summary(batch: pa.RecordBatch, words: list[list], owners: list[set], hits: list[list]) -> pa.RecordBatch:
+    spans = [_merged(x) for x in hits]
     items = [sorted(o for o in x if o is not None) for x in owners]
     named = [",".join(sorted(map(str, x))) for x in items]
     return pa.RecordBatch.from_pydict({
-        "doc_id": ids.cast(pa.int64()),
+        "doc_id": batch["doc_id"].cast(pa.int64()),
         "n_words": pa.array([len(x) for x in words], pa.int64()),
         "n_hit": pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()),
         "n_items": pa.array([len(x) for x in items], pa.int64()),

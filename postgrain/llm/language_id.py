@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from postgrain.llm.shared import slices, utf8
+from postgrain.llm.shared import beside, mapped, picked, slices, staged, utf8
 from postgrain.llm.wordhash import LOWER, mixed
 
 U = np.uint64
@@ -36,7 +37,7 @@ def codewords(classes: int, seed: int = 5) -> np.ndarray:
         return np.array(splits, float).T
     bits, rng = max(15, int(np.ceil(10 * np.log2(classes)))), np.random.default_rng(seed)
     best, apart = None, -1
-    for _ in range(200):
+    for _ in range(max(1, 40_000 // classes**2)):  # many random words are far apart by themselves
         code = rng.choice([-1.0, 1.0], (classes, bits))
         mixed_bits = (np.abs(code.sum(axis=0)) < classes).all()
         near = (bits - (code @ code.T - 2 * bits * np.eye(classes)).max()) / 2
@@ -75,7 +76,9 @@ class Model:
     def decode(self, profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(best language, its share of exp(-loss), its lead over the second share) of each row."""
         margins = profiles @ self.weights[:-1] + self.weights[-1]
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.trust
+        rows = max(1, (1 << 22) // self.code.size)  # losses of so many rows at a time
+        loss = np.concatenate([np.logaddexp(0, -margins[k:k + rows, None, :] * self.code[None]) @ self.trust
+                               for k in range(0, max(1, len(margins)), rows)])
         share = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         order = np.sort(share, axis=1)
@@ -97,26 +100,27 @@ def _fit_bits(x: np.ndarray, y: np.ndarray, rounds: int, penalty: float) -> np.n
 
 
 def fit(docs: DataFrame, per_language: int = 400, dims: int = 1 << 12, rounds: int = 200,
-        penalty: float = 1e-5, most_languages: int = 200) -> Model:
+        penalty: float = 1e-5, sample_bytes: int = 64 << 20) -> Model:
     """Learn from rows of ``docs`` (text, lang) that have a text and a language.
 
     Of every language ``per_language`` different texts are taken, those with the smallest hashes, or all
-    of them where there are fewer; so copies do not count and every language is learned. Profiles are
-    made where the rows are. More languages than ``most_languages`` are refused. Without any labelled
-    row the model knows no language.
+    of them where there are fewer; so copies do not count and every language is learned. With so many
+    languages that their profiles would exceed ``sample_bytes``, each gives fewer texts, and below eight of them
+    profiles get fewer dimensions (256 at least). Profiles are made where the rows are. Without any
+    labelled row the model knows no language.
     """
-    rows = docs.where("text is not null and lang is not null").select(
+    rows = picked(docs, "text", "lang").where("text is not null and lang is not null").select(
         "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("digest"))
-    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(most_languages + 1).collect())
-    if len(languages) > most_languages:
-        raise ValueError(f"more than {most_languages} languages; at most {most_languages} can be told apart")
+    # a row per language: how many different texts it has, about
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("digest").alias("n")).collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((dims + 1, 1), np.float32), np.ones(1))
-    # copies are folded and the smallest kept before either shuffle; at most per_language * most_languages digests remain
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
-    drawn = rows.groupBy("lang", "digest").agg(F.count("*").alias("copies")).select("lang", "digest", place.alias("place")).where(
-        F.col("place") <= per_language).select("lang", "digest")
-    sample = rows.join(F.broadcast(drawn), ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(
+    while dims > 256 and len(languages) * 8 * dims * 2 > sample_bytes:
+        dims //= 2
+    each = max(1, min(per_language, sample_bytes // (len(languages) * dims * 2)))
+    sample = _smallest(rows, sizes, each)
+    sample = rows.join(F.broadcast(sample), ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(
         F.min("text").alias("text")).select("text", "lang")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +130,12 @@ def fit(docs: DataFrame, per_language: int = 400, dims: int = 1 << 12, rounds: i
 
     # one row of each drawn text; sorted, so that the model does not depend on where rows are
     taken = sorted(sample.mapInArrow(profiles, "lang string, profile binary").collect(), key=lambda r: (r.lang, bytes(r.profile)))
-    seen = languages
+    seen, place = languages, {lang: k for k, lang in enumerate(languages)}
     code = codewords(len(seen))
     if len(seen) < 2:
         return Model(seen, code, np.zeros((dims + 1, 1), np.float32), np.ones(1))
     x = np.array([np.frombuffer(r.profile, np.float16) for r in taken], np.float32)
-    y = code[[seen.index(r.lang) for r in taken]]
+    y = code[[place[r.lang] for r in taken]]
     order = np.random.default_rng(6).permutation(len(x))
     x, y = x[order], y[order]
     cut = max(1, len(x) // 5)
@@ -142,6 +146,29 @@ def fit(docs: DataFrame, per_language: int = 400, dims: int = 1 << 12, rounds: i
     return Model(seen, code, _fit_bits(x, y, rounds, penalty), trust / trust.mean())
 
 
+def _smallest(rows: DataFrame, sizes: dict[str, int], each: int) -> DataFrame:
+    """(lang, digest): the ``each`` smallest digests of every language.
+
+    Digests above a bound are dropped before they move: it leaves about twice as many as are wanted, so
+    no task gets more of a language than that. A language that it leaves too few of is drawn without one.
+    """
+    spark, span = rows.sparkSession, 2.0**64
+    open_ended = set()
+    while True:
+        bounds = [(lang, None if lang in open_ended or 2 * each >= n else int(2 * each / n * span - span / 2))
+                  for lang, n in sizes.items()]
+        table = spark.createDataFrame(bounds, "lang string, bound long")  # a row per language
+        drawn = rows.join(F.broadcast(table), "lang").where("bound is null or digest < bound").groupBy("lang", "digest").agg(
+            F.count("*").alias("copies"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
+        drawn = staged(drawn.select("lang", "digest", place.alias("place")).where(F.col("place") <= each), "sample")
+        found = {r.lang: r["count"] for r in drawn.groupBy("lang").count().collect()}
+        few = {lang for lang, bound in bounds if bound is not None and found.get(lang, 0) < each}
+        if not few:
+            return drawn.select("lang", "digest")
+        open_ended |= few
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (_COMMON_LETTER.search(text) is not None or any(c.isalpha() for c in text))
 
@@ -151,29 +178,26 @@ def predict(docs: DataFrame, model: Model, lead: float = 0.2, keep: dict[str, Co
 
     Only ``text`` is looked at, the whole of it. Null, empty or letterless text, or a model without
     languages: ``und`` with score 0, not ambiguous. ``score`` is the share of the chosen language,
-    ``ambiguous`` whether its lead over the second is below ``lead``. Repeated rows get equal
+    ``ambiguous`` whether its lead over the second is below ``lead``; of languages with equal losses the first by
+    name is chosen. Columns may have any name, those kept also ``score`` or ``lang_pred``. Repeated rows get equal
     results; an empty table gives an empty result.
     """
-    keep = keep or {}
-    names_kept = list(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("text").alias("_text"), *(c.alias(n) for n, c in keep.items()))
+    rows, kept = beside(docs, ["text"], {} if keep is None else keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         dims = len(model.weights) - 1
-        for batch in slices(batches, "_text"):
-            known = np.array([has_letter(x) for x in batch["_text"].to_pylist()], bool)
+        for batch in slices(batches, 0):
+            text = batch.column(0)
+            known = np.array([has_letter(x) for x in text.to_pylist()], bool)
             known &= bool(model.languages)
             best, score, gap = np.zeros(len(known), int), np.zeros(len(known)), np.ones(len(known))
             if known.any():
-                best[known], score[known], gap[known] = model.decode(
-                    ngram_profiles(batch["_text"].filter(pa.array(known)), dims))
+                best[known], score[known], gap[known] = model.decode(ngram_profiles(text.filter(pa.array(known)), dims))
             names = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             new = [pa.array(names, pa.string()), pa.array(score.astype(float)), pa.array(gap < lead)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*names_kept, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[str(k) for k in range(len(kept) + 3)])
 
-    kept = rows.drop("_text").schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")):
-        kept = kept.add(name, kind)
-    return rows.mapInArrow(run, kept)
+    found = StructType.fromDDL("lang_pred string, score double, ambiguous boolean")
+    return mapped(rows, run, StructType([*kept, *found]))

@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postgrain.llm.shared import picked
+
 _GNU = ("This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name}General Public "
         "License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any "
         "later version")
@@ -161,7 +163,7 @@ def licenses(docs: DataFrame) -> DataFrame:
     """
     names = F.create_map(*[F.lit(x) for name, run in reversed(RULES) for x in (run, name)])
     runs = F.regexp_extract_all("_ids", F.lit("|".join(run for _, run in RULES)), F.lit(0))
-    rows = docs.select("doc_id", sentence_ids(F.coalesce("text", F.lit(""))).alias("_ids"))
+    rows = picked(docs, "doc_id", "text").select("doc_id", sentence_ids(F.coalesce("text", F.lit(""))).alias("_ids"))
     return rows.select(
         "doc_id", F.length(F.translate("_ids", "-", "")).cast("long").alias("n_sentences"),
         F.size(runs).cast("long").alias("n_licenses"),

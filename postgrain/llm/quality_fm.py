@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure and length of a text.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata of a text.
 
 score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j). The pairwise sum is taken in
 linear time: half of the square of the sum of v_i x_i less the sum of their squares, per factor.
@@ -11,15 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from postgrain.llm.shared import slices, utf8
+from postgrain.llm.shared import beside, mapped, picked, slices, staged, utf8
 from postgrain.llm.wordhash import words
 
 U = np.uint64
 STATISTICS = ("bytes", "words", "lines", "word_length", "distinct", "again", "upper", "digits", "marks", "symbols",
               "bars", "breaks", "beyond_ascii", "no_words")
+#: What the table says of a text: its length, and whether that is missing or another one than the text has.
+METADATA = ("declared", "undeclared", "misdeclared")
+EXTRA = len(STATISTICS) + len(METADATA)
 _UPPER, _LOWER, _DIGIT, _MARK, _SYMBOL, _BAR, _BREAK, _SPACE, _BEYOND = range(9)
 _CLASS = np.full(256, _SYMBOL, np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = _UPPER, _LOWER, _DIGIT, _BEYOND
@@ -66,6 +70,23 @@ def raw_features(column: pa.Array, dims: int) -> tuple[Features, np.ndarray]:
             statistics(data, offsets, hashes, counts, distinct))
 
 
+def metadata(column: pa.Array, declared: pa.Array | None) -> np.ndarray:
+    """One row of ``METADATA`` per text; without a declared length (or a negative one) its own counts."""
+    own = np.array([len(x or "") for x in column.to_pylist()], float)
+    if declared is None:
+        said, missing = own, np.ones(len(own), bool)
+    else:
+        said = np.asarray(declared.cast(pa.float64()).fill_null(-1.0))
+        missing = ~(said >= 0)
+        said = np.where(missing, own, said)
+    return np.column_stack([np.log1p(said), missing, said != own]).astype(np.float64)
+
+
+def _features(text: pa.Array, declared: pa.Array | None, dims: int) -> tuple[Features, np.ndarray]:
+    sparse, stats = raw_features(text, dims)
+    return sparse, np.hstack([stats, metadata(text, declared)])
+
+
 def _joined(sparse: Features, stats: np.ndarray, dims: int) -> Features:
     """Words and scaled statistics of each row, one after the other."""
     rows, extra = stats.shape
@@ -103,9 +124,9 @@ class Model:
         linear, sums, squares = self._sums(x)
         return self.bias + linear + 0.5 * (sums**2 - squares).sum(axis=1)
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        """Scores of a text column; null counts as empty."""
-        sparse, stats = raw_features(column, self.dims)
+    def score(self, column: pa.Array, declared: pa.Array | None = None) -> np.ndarray:
+        """Scores of a text column; null counts as empty. ``declared``: lengths in code points, if known."""
+        sparse, stats = _features(column, declared, self.dims)
         return 1 / (1 + np.exp(-np.clip(self.margin(_joined(sparse, self.scaled(stats), self.dims)), -40, 40)))
 
 
@@ -154,39 +175,41 @@ def train(x: Features, stats: np.ndarray, y: np.ndarray, weight: np.ndarray, dim
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = 2500, dims: int = 1 << 14,
         factors: int = 8, rounds: int = 8, step: float = 0.1, penalty: float = 1e-4) -> Model:
-    """Learn from the texts of ``docs`` (doc_id, text) that have a 0 or 1 in ``labels`` (doc_id, label).
+    """Learn from the texts of ``docs`` (doc_id, text, n_chars) that have a 0 or 1 in ``labels`` (doc_id, label).
 
-    About ``per_label`` rows of each label are taken, by a hash of doc_id; the bound on this sample
-    is the only one, and the loss weighs its rows so that both labels count as often as they occur.
-    Only ids and labels of the sample are broadcast, and texts do not move. Null labels and rows
-    without a text row are ignored; repeated rows count as often as they come. Without rows of both
+    The ``per_label`` ids with the smallest hashes are taken of each label, or all of them; this bound on the
+    sample is the only one, and the loss weighs its rows so that both labels count as often as they occur.
+    Only ids and labels of the sample are broadcast, and texts do not move. Null labels and ids and labels
+    without a text row are ignored; a repeated label counts once, and of several rows of an id the one
+    with the smallest features counts. The model is the same however rows are stored or dealt. Without rows of both
     labels every score is the share of label 1, or one half.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
+    known = picked(labels, "doc_id", label).toDF("_id", "_label").where("_id is not null and _label in (0, 1)").select(
+        F.col("_id").cast("long").alias("_id"), F.col("_label").cast("int").alias("_label")).distinct()
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    rate = {k: min(1.0, per_label / n) for k, n in counts.items()}
-    flat = Model(0.0, np.zeros(dims + len(STATISTICS)), np.zeros((dims + len(STATISTICS), factors)),
-                 np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), dims)
+    flat = Model(0.0, np.zeros(dims + EXTRA), np.zeros((dims + EXTRA, factors)), np.zeros(EXTRA), np.ones(EXTRA), dims)
     if len(counts) < 2:
         flat.bias = {(): 0.0, (0,): -40.0, (1,): 40.0}[tuple(counts)]
         return flat
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(draw < F.when(F.col("_label") == 1, rate[1]).otherwise(rate[0])).limit(4 * per_label)
+    chosen = _smallest(known, counts, per_label)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sparse, stats = raw_features(batch["text"], dims)
+            sparse, stats = _features(batch["text"], batch["n_chars"], dims)
             heads = np.append(0, sparse.ends[:-1]).tolist()
             rows = [(sparse.index[a:b].astype("<u4").tobytes(), sparse.value[a:b].astype("<f4").tobytes())
                     for a, b in zip(heads, sparse.ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({
-                "label": batch["_label"], "places": pa.array([r[0] for r in rows], pa.binary()),
+                "id": batch["_id"], "label": batch["_label"], "places": pa.array([r[0] for r in rows], pa.binary()),
                 "amounts": pa.array([r[1] for r in rows], pa.binary()),
                 "stats": pa.array([s.tobytes() for s in stats], pa.binary())})
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_label", "text")
-    rows = texts.mapInArrow(features, "label int, places binary, amounts binary, stats binary").limit(4 * per_label).collect()
+    texts = picked(_declared(docs), "doc_id", "text", "n_chars").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    texts = texts.select("_id", "_label", "text", "n_chars")
+    found = texts.mapInArrow(features, "id long, label int, places binary, amounts binary, stats binary")
+    one = F.min(F.struct("stats", "places", "amounts")).alias("row")
+    rows = found.groupBy("id", "label").agg(one).select("id", "label", "row.*").collect()  # 2 * per_label at most
+    rows.sort(key=lambda r: (r.label, r.id))  # training takes them in this order
     y = np.array([r.label for r in rows], float)
     if len(set(y.tolist())) < 2:
         return flat
@@ -199,22 +222,49 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     return train(x, stats, y, weight, dims, factors, rounds, step, penalty)
 
 
+def _declared(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, null where the table has none."""
+    if any(c.lower() == "n_chars" for c in docs.columns):
+        return docs
+    return docs.select("*", F.lit(None).cast("long").alias("n_chars"))
+
+
+def _smallest(known: DataFrame, counts: dict[int, int], each: int) -> DataFrame:
+    """(_id, _label): the ``each`` ids of every label with the smallest hashes, 2 * ``each`` rows at most.
+
+    Hashes far above the wanted share are dropped before they move; should too few be left, all are drawn.
+    """
+    rows = known.withColumn("_hash", F.xxhash64("_id"))
+    place = F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_id"))
+    for factor in (2, None):
+        drawn = rows
+        if factor:
+            below = {k: min(2**63 - 1, int(2.0**64 * min(1.0, factor * each / n) - 2.0**63)) for k, n in counts.items()}
+            drawn = rows.where(F.col("_hash") <= F.when(F.col("_label") == 1, below[1]).otherwise(below[0]))
+        drawn = staged(drawn.withColumn("_place", place).where(F.col("_place") <= each).select("_id", "_label"), "sample")
+        found = {r["_label"]: r["count"] for r in drawn.groupBy("_label").count().collect()}
+        if all(found.get(k, 0) >= min(each, n) for k, n in counts.items()):
+            break
+    return drawn
+
+
 def predict(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None) -> DataFrame:
     """``score`` (0 to 1, higher: better) and ``predicted`` of every row of ``docs``, with ``keep``.
 
-    Only ``text`` is looked at, the whole of it; null counts as empty, and empty texts are scored by
-    their statistics. Repeated rows get equal scores; an empty table gives an empty result.
+    Only ``text``, the whole of it, and ``n_chars`` (if there is such a column) are looked at; null counts as empty, and
+    empty texts are scored by their statistics. ``keep`` are expressions by name, or None for every column of ``docs``; names may be any,
+    ``score`` and dotted ones too. Repeated rows get equal scores; an empty table gives an empty result.
     """
-    keep = keep or {}
-    names = list(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("text").alias("_text"), *(c.alias(n) for n, c in keep.items()))
+    rows, kept = beside(_declared(docs), ["text", "n_chars"], keep)
+    if keep is None and len(kept) > len(docs.columns):  # the added column does not stay
+        rows, kept = rows.drop(rows.columns[-1]), StructType(kept.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            score = shared.value.score(batch["_text"])
+        for batch in slices(batches, 0):
+            score = shared.value.score(batch.column(0), batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                names=[*names, "score", "predicted"])
+                [*batch.columns[2:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
+                names=[str(k) for k in range(len(kept) + 2)])
 
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("score", "double").add("predicted", "integer"))
+    return mapped(rows, run, StructType([*kept, *StructType.fromDDL("score double, predicted int")]))

@@ -42,9 +42,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _remainder(modulus: int) -> F.Column:
+    """Null for a null doc_id: such a row is neither learned from nor held out."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def _held_out(modulus: int, rest: int) -> F.Column:
+    return F.coalesce(_remainder(modulus) == rest, F.lit(False))
+
+
 @_query
 def op1_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
@@ -60,7 +65,7 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op3_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = language_id.fit(docs.where(_remainder(5) != 0))
-    return language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": _remainder(5) == 0})
+    return language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": _held_out(5, 0)})
 
 
 @_query
@@ -103,7 +108,7 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_machine(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     model = quality_fm.fit(docs, labels.where(_remainder(3) != 1))
-    return quality_fm.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": _remainder(3) == 1})
+    return quality_fm.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": _held_out(3, 1)})
 
 
 @_query

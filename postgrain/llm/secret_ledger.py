@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postgrain.llm.shared import new_folder, staged
+from postgrain.llm.shared import by_place, new_folder, picked, position, staged
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,39 @@ BASE = ("assign", "access", "hex")
 LEDGER = "blob string, kind string, version int, spans array<struct<start: int, end: int>>"
 
 
+_RUN = 128  # items whose output is collected before it joins the rest
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _walked(items: Column, start: Column, step, empty: Column) -> Column:
+    """(at, outs) after ``step(at, item) -> (at, outputs)`` over all items; ``outs`` are all outputs in order.
+
+    Arrays are copied when they grow, so outputs are gathered by runs of items and the runs by runs of
+    runs: a million items copy each output some hundred times, not half a million times.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / _RUN), F.lit(0))),
+                       lambda k: F.slice(items, (k * _RUN + 1).cast("int"), _RUN))
+    nothing = F.struct(start.alias("at"), empty.alias("outs"))
+
+    def within(at: Column, run: Column) -> Column:
+        def one(state: Column, item: Column) -> Column:
+            return _bound(step(state["at"], item), lambda s: F.struct(
+                s["at"].alias("at"), F.concat(state["outs"], s["outs"]).alias("outs")))
+        return F.aggregate(run, F.struct(at.alias("at"), empty.alias("outs")), one)
+
+    def joined(state: Column, run: Column) -> Column:
+        return _bound(within(state["at"], run), lambda s: F.struct(
+            s["at"].alias("at"), F.concat(state["outs"], F.array(s["outs"])).alias("outs")))
+
+    begin = F.struct(start.alias("at"), F.slice(F.array(empty), 1, 0).alias("outs"))
+    all_runs = F.aggregate(runs, begin, joined, lambda s: F.struct(s["at"].alias("at"), F.flatten(s["outs"]).alias("outs")))
+    return F.when(F.size(items) > 0, all_runs).otherwise(nothing)
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
     """[start, end) of the matches of a rule, in code points: leftmost, without overlaps.
 
@@ -50,15 +83,14 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     pairs = F.arrays_zip(matches.alias("match"), around.alias("before"))
     empty = F.lit([]).cast("array<struct<start: int, end: int>>")
 
-    def step(state: Column, pair: Column) -> Column:
-        match, start = pair["match"], state["at"] + F.length(pair["before"])
+    def step(at: Column, pair: Column) -> Column:
+        match, start = pair["match"], at + F.length(pair["before"])
         end = start + F.coalesce(F.length(match), F.lit(0))
         secret = match if not rule.group else F.regexp_extract(match, rule.pattern, rule.group)
         found = F.when(F.length(secret) >= rule.least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(empty)
-        return F.struct(end.alias("at"), F.concat(state["spans"], found).alias("spans"))
+        return F.struct(end.alias("at"), found.alias("outs"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
-    return F.when(text.rlike(rule.pattern), walked).otherwise(empty)
+    return F.when(text.rlike(rule.pattern), _walked(pairs, F.lit(0), step, empty)["outs"]).otherwise(empty)
 
 
 def blob_of(text: Column) -> Column:
@@ -71,7 +103,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> N
     Copies of a text are folded before they move, so one text in a third of all rows costs no more
     than any other; a blob whose rules were all scanned is dropped before its text is searched.
     """
-    rows = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = picked(versions, "text").select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
     seen = F.lit([]).cast("array<string>")
     if _exists(versions.sparkSession, ledger):
@@ -114,30 +146,43 @@ def secrets(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
     """``versions`` (text and any other columns) with ``spans``: structs (start, rank, end, kind).
 
     Without a ledger a new one is made in the shared folder. Null text: empty, no findings. Repeated
-    rows and empty tables give as many rows. A column ``spans`` of the input is replaced.
+    rows and empty tables give as many rows. Columns may have any name; one called ``spans`` is replaced.
     """
     spark = versions.sparkSession
     ledger = ledger or new_folder(spark, "secret-ledger")
     scan(versions, ledger, rules)
-    found = staged(findings(spark, ledger, rules), "secret-findings").withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
-    keyed = versions.withColumn("_blob_of", blob_of(F.col("text")))
-    none = F.lit([]).cast(found.schema["_spans"].dataType)
+    found = staged(findings(spark, ledger, rules), "secret-findings")
+    none = F.lit([]).cast(found.schema["spans"].dataType)
+    names = [c for c in versions.columns if c.lower() != "spans"]
+    stay = [F.col(f"c{k}") for k, c in enumerate(versions.columns) if c.lower() != "spans"]
+    keyed = by_place(versions).withColumn("blob", blob_of(F.col(f"c{position(versions, 'text')}")))
     # one blob may have a third of all rows: plain tables on both sides, so skewed parts are split.
     # Findings grow with the data, so they are merged at every size and never broadcast.
-    joined = keyed.join(found.hint("merge"), keyed["_blob_of"] == found["_blob"], "left")
-    return joined.withColumn("spans", F.coalesce("_spans", none)).drop("_blob", "_spans", "_blob_of")
+    joined = keyed.join(found.hint("merge"), "blob", "left")
+    return joined.select(*stay, F.coalesce("spans", none)).toDF(*names, "spans")
 
 
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every run of overlapping spans replaced by a mark."""
-    def step(state: Column, span: Column) -> Column:
-        apart = span["start"] >= state["at"]
-        out = F.when(apart, F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark)))
-        return F.struct(out.otherwise(state["out"]).alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    end = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+    """The text with every run of overlapping spans replaced by a mark.
+
+    Pieces are cut from the text with four bytes a code point, where any place is found at once.
+    """
+    wide = F.encode(text, "UTF-32")
+    empty = F.lit([]).cast("array<string>")
+
+    def cut(data: Column, start: Column, size: Column) -> Column:
+        return F.decode(F.substring(data, start * 4 + 1, size * 4), "UTF-32")
+
+    def cleaned(data: Column) -> Column:
+        def step(at: Column, span: Column) -> Column:
+            apart = span["start"] >= at
+            out = F.when(apart, F.array(cut(data, at, span["start"] - at), F.lit(mark))).otherwise(empty)
+            return F.struct(F.greatest(at, span["end"]).alias("at"), out.alias("outs"))
+
+        return _bound(_walked(spans, F.lit(0), step, empty), lambda s: F.concat(
+            F.array_join(s["outs"], ""), cut(data, s["at"], F.length(text) - s["at"])))
+
+    return F.when(F.size(spans) > 0, _bound(wide, cleaned)).otherwise(text)
 
 
 def joined_spans(spans: Column) -> Column:

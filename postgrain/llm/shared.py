@@ -90,6 +90,17 @@ def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
     return by_place(df).mapInArrow(renamed, kinds).toDF(*schema.names)
 
 
+def beside(df: DataFrame, columns: list[str], keep: dict[str, Column] | None) -> tuple[DataFrame, StructType]:
+    """``columns`` of ``df``, then the expressions in ``keep`` (None: every column of ``df``), and the schema of
+    those kept. Names do not matter: only places do."""
+    wide = df if keep is None else df.select("*", *keep.values())
+    first = 0 if keep is None else len(df.columns)
+    names = df.columns if keep is None else list(keep)
+    kept = StructType([StructField(n, f.dataType) for n, f in zip(names, wide.schema.fields[first:], strict=True)])
+    own = [F.col(f"c{position(df, c)}").alias(f"own{k}") for k, c in enumerate(columns)]
+    return by_place(wide).select(*own, *(F.col(f"c{first + k}").alias(f"kept{k}") for k in range(len(names)))), kept
+
+
 # --- document order -----------------------------------------------------------------------------
 
 

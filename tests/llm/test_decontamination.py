@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from postgrain.llm.decontamination import decontaminate
+from postgrain.llm.decontamination import decontaminate, without_passages
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -74,3 +74,13 @@ def test_spans_of_a_long_text(spark):
     items = spark.createDataFrame([(8, " ".join(words[20_000:20_015])), (9, "w5")], "item_id long, text string")
     row = decontaminate(docs, items).first()
     assert row.spans == [[5, 6], [20_000, 20_015]] and row.items == [8, 9] and row.n_hit == 16
+
+
+def test_rows_without_passages_keep_columns_of_any_name(spark):
+    schema = "doc_id long, text string, `odd.name` int, `TEXT` string, c0 int"
+    docs = spark.createDataFrame([(1, "w5 x", 1, "a", 2), (2, "w6", 3, "w5", 4), (None, None, None, None, None)], schema)
+    items = spark.createDataFrame([(9, "w5", "a")], "item_id long, text string, `x.y` string")
+    kept = without_passages(docs, items)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == [
+        (2, "w6", 3, "w5", 4), (None, None, None, None, None)]
+    assert [r.n_hit for r in decontaminate(docs.where("doc_id = 1"), items).collect()] == [1]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from postgrain.llm.quality_fm import STATISTICS, Features, Model, fit, predict, raw_features
+from postgrain.llm.quality_fm import STATISTICS, Features, Model, fit, metadata, predict, raw_features
 
 
 def test_pairwise_sum_equals_all_pairs():
@@ -62,3 +62,46 @@ def test_odd_tables(spark):
         got = predict(docs, model).collect()
         assert len(got) == 4 and got[1] == got[2] and (want is None or all(abs(r.score - want) < 1e-6 for r in got))
         assert predict(docs.limit(0), model).collect() == []
+
+
+def test_model_does_not_depend_on_where_rows_are(spark):
+    rows = corpus(500, 12)
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t, _ in rows], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(d, q) for d, _, q in rows] * 2, "doc_id long, quality int")
+    found = []
+    for parts in (1, 7):
+        model = fit(docs.repartition(parts, "text"), labels.repartition(parts), per_label=60)
+        found.append({r.doc_id: r.score for r in predict(docs.repartition(parts), model, {"doc_id": docs["doc_id"]}).collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) > 100
+
+
+def test_scores_are_the_formula_over_all_pairs(spark):
+    """The query's scores against words, statistics and pairs taken one by one."""
+    rows = corpus(60, 13) + [(900, "", 0), (901, None, 0)]
+    docs = spark.createDataFrame([(d, t, len(t or "") if d % 3 else None) for d, t, _ in rows], "doc_id long, text string, n_chars long")
+    model = fit(docs, spark.createDataFrame([(d, q) for d, _, q in rows[:40]], "doc_id long, quality int"), dims=64, factors=3)
+    got = {r.doc_id: r.score for r in predict(docs, model, {"doc_id": docs["doc_id"]}).collect()}
+    for doc, text, _ in rows:
+        column = pa.array([text])
+        sparse, stats = raw_features(column, 64)
+        declared = None if doc % 3 == 0 else pa.array([len(text or "")])
+        extra = model.scaled(np.hstack([stats, metadata(column, declared)]))[0]
+        x = np.zeros(64 + len(extra))
+        x[sparse.index] = sparse.value
+        x[64:] = extra
+        margin = model.bias + model.linear @ x + sum(
+            model.factors[i] @ model.factors[j] * x[i] * x[j] for i in range(len(x)) for j in range(i) if x[i] and x[j])
+        assert np.isclose(got[doc], 1 / (1 + np.exp(-margin)), atol=1e-9)
+
+
+def test_metadata():
+    got = metadata(pa.array(["abc", "é", None, "x"]), pa.array([3, 7, None, -1]))
+    assert np.allclose(got, [[np.log(4), 0, 0], [np.log(8), 0, 1], [0, 1, 0], [np.log(2), 1, 0]])
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6.0, "t", "x"), (None, None, None, None, None, None)],
+                                 "doc_id long, text string, `odd.name` int, score double, `Text ` string, `TEXT` string")
+    model = fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    rows = predict(docs, model).collect()
+    assert rows[0][:6] == (1, "a b", 5, 6.0, "t", "x") and len(rows[0]) == 8 and rows[1][:6] == (None,) * 6

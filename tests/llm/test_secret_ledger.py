@@ -28,9 +28,10 @@ def texts():
 
 def test_spans_equal_matching_one_by_one(spark):
     rows = list(enumerate(texts()))
-    table = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, blob string, _spans int")
+    table = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, blob string, _spans int").withColumns(
+        {"_blob": F.lit(1), "odd.name": F.lit(2), "SPANS": F.lit(3), "_blob_of": F.lit(4)})
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    found = secrets(table.drop("_spans").repartition(4)).select("doc_id", joined_spans(base).alias("base"), masked(F.coalesce("text", F.lit("")), F.col("spans")).alias("clean"))
+    found = secrets(table.repartition(4)).select("doc_id", joined_spans(base).alias("base"), masked(F.coalesce("text", F.lit("")), F.col("spans")).alias("clean"))
     got = {r.doc_id: r for r in found.collect()}
     assert len(got) == len(rows)
     for doc, text in rows:
@@ -38,7 +39,7 @@ def test_spans_equal_matching_one_by_one(spark):
         assert got[doc].base == want, text
         if want:
             assert "[SECRET]" in got[doc].clean and not brute_force(got[doc].clean.replace("[SECRET]", "|||"))
-    assert secrets(table.drop("_spans").limit(0)).collect() == []
+    assert secrets(table.limit(0)).collect() == []
 
 
 def test_only_unseen_pairs_are_scanned(spark):
@@ -58,3 +59,16 @@ def test_only_unseen_pairs_are_scanned(spark):
     newer = (*RULES[1:], Rule("assign", 2, "noth", 0, 1))
     rows = {r.path: [s.kind for s in r.spans] for r in secrets(first, ledger, newer).collect()}
     assert rows == {"a": [], "b": ["assign"]} and read().count() == 4 * len(RULES) + 2
+
+
+def test_columns_of_any_name_stay(spark):
+    table = spark.createDataFrame([("x", 1, 2, 3, 4)], "text string, _blob int, `odd.name` int, spans int, TEXT int")
+    assert secrets(table).columns == ["text", "_blob", "odd.name", "TEXT", "spans"]
+    assert tuple(secrets(table).first()) == ("x", 1, 2, 4, [])
+
+
+def test_a_text_of_many_matches(spark):
+    text = "é0123456789abcdef-" * 30_000
+    row = secrets(spark.createDataFrame([(text,)], "text string")).select("spans", masked(F.col("text"), F.col("spans")).alias("clean")).first()
+    assert [(s.start, s.end) for s in row.spans] == [(18 * k + 1, 18 * k + 17) for k in range(30_000)]
+    assert row.clean == "é[SECRET]-" * 30_000
