@@ -62,7 +62,7 @@ def test_same_components_as_comparing_all_pairs(spark, seed):
 
 
 def test_odd_tables(spark):
-    schema = "doc_id long, text string, n long, component_id string, salt int"
+    schema = "doc_id long, text string, n long, `component.id` string, TEXT int"
     assert near_duplicates(spark.createDataFrame([], schema)).collect() == []
     long = "alpha beta gamma delta epsilon " * 40_000
     rows = [(5, "a b c d e f", 1, "x", 1), (5, "a b c d e f", 1, "x", 1), (None, "a b c d e f", 1, "x", 1),
@@ -78,3 +78,40 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame([Row(a=a, b=b) for a, b in links])).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
+
+
+def one_node_per_id(rows):
+    """Components where all rows of an id are one node, comparing all rows."""
+    sets = [(d, shingle_set(t)) for d, t in rows]
+    root = {d: d for d, _ in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1:]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return sorted((d, len(s), find(d)) for d, s in sets)
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (9, b + " tail"), (5, c), (20, c + " end"), (20, None), (21, ""), (2, "alone here"),
+            (4, c), (4, "other " + c), (30, a), (30, b), (31, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = one_node_per_id(rows)
+    assert (9, 37, 3) in want and (20, 0, 3) in want
+    for parts in (1, 6):
+        assert sorted(tuple(r) for r in near_duplicates(docs.repartition(parts)).collect()) == want
+
+
+def test_random_ids_with_several_texts(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(90), t) for _, t in corpus(4, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in near_duplicates(docs, sketch_cells=64, hot_rows=3, salts=3, filter_bits=64).collect())
+    assert got == one_node_per_id(rows)
