@@ -77,3 +77,37 @@ def test_passages_are_found_without_an_id(spark, tmp_path):
     clean = dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, docs, str(tmp_path))
     assert clean.columns == docs.columns
     assert sorted(map(tuple, clean.collect()), key=repr) == sorted((r for k, r in enumerate(rows) if k not in (0, 2)), key=repr)
+
+
+def test_one_row_of_each_group_also_of_repeated_rows_and_without_ids(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "de", "s", 1), (2, a, "en", "s", 1), (3, b, "en", "s", 1),
+            (None, b + " end", "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, c + " end", "en", "s", 1),
+            (7, d, "en", "s", 1), (7, d, "en", "s", 1), (8, None, "en", "s", 0), (8, None, "en", "s", 0), (9, "", "en", "s", 0),
+            (None, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs.repartition(4), str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    nameless = [r for r in got if r[0] is None and r[1]]
+    assert len(nameless) == 1 and nameless[0][1] in (c, c + " end")
+    assert [r for r in got if r not in nameless] == sorted(
+        [(1, a, "de", "s", 1), (3, b, "en", "s", 1), (7, d, "en", "s", 1), (8, None, "en", "s", 0), (9, "", "en", "s", 0),
+         (None, None, "en", "s", 0)], key=repr)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    words = " ".join(f"w{k}" for k in range(30))
+    schema = SCHEMA + ", `odd.name` int, spans string, score int, c0 int, key int, `TEXT ` string"
+    rows = [(1, words + " token=abcdefghijklmnop", "en", "s", 5, 1, "x", 2, 3, 4, "y"), (2, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        got = sorted(map(tuple, out.collect()), key=repr)
+        if name == "secret scans":
+            assert got[0][1] == words + " [SECRET]" and got[0][4] == len(words) + 9
+            got[0] = (1, rows[0][1], *got[0][2:4], 5, *got[0][5:])
+        assert got == rows, name
