@@ -2,22 +2,27 @@
 
 Work that depends on the posting alone (text patterns, place parsing) happens before postings fan
 out over profiles, so the description is read once and never copied per profile.
+
+A short list of profiles is inlined. A long one is a table: its place phrases are an index that the
+words of every distinct location meet by an equi-join, and the other rules are columns of blocks of
+profiles that postings meet one after the other, so the plan is the same for any number of them.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postgrain.functions.fanout import explode_rows, inline_rows
 from postgrain.functions.patterns import SPACE, jvm
 from postgrain.functions.taxonomy import seniority_rank
 from postgrain.functions.text import trim
 from postgrain.operators.profiles import PROFILE_LIMIT, Profile
 from postgrain.rules import places as P
 from postgrain.rules.constants import SENIORITY_LEVELS
-from postgrain.session import bounded
+from postgrain.session import checkpointed
 
 
 def _words(text: Column) -> Column:
@@ -140,13 +145,12 @@ def hard_filter_verdicts(postings: DataFrame, profiles: list[Profile]) -> DataFr
     """One verdict per active posting and profile: ``reasons`` and ``hard_filter_pass``.
 
     ``postings`` needs id, status, description, description_hash, title_family, seniority, remote
-    and location. The plan is scan -> project -> generate: no join, no shuffle.
+    and location. Up to ``PROFILE_LIMIT`` profiles, the plan is scan -> project -> generate: no join,
+    no shuffle. Beyond, see :func:`verdicts_by_table`; the result is the same.
     """
-    profiles = bounded(profiles, PROFILE_LIMIT, "profiles")
-    active = place_features(postings.where("status = 'active'").select(
-        "id", "description_hash", "title_family", "seniority", "remote", "location",
-        work_auth_reasons("description").alias("_auth"),
-    ))
+    if len(profiles) > PROFILE_LIMIT:
+        return verdicts_by_table(postings, profile_rules(postings.sparkSession, profiles))
+    active = _active(postings)
     per_profile = F.array(*[
         F.struct(
             F.lit(p.version).alias("profile_version"),
@@ -159,6 +163,112 @@ def hard_filter_verdicts(postings: DataFrame, profiles: list[Profile]) -> DataFr
     ).withColumn("hard_filter_pass", F.size("reasons") == 0)
 
 
+def _active(postings: DataFrame) -> DataFrame:
+    return place_features(postings.where("status = 'active'").select(
+        "id", "description_hash", "title_family", "seniority", "remote", "location",
+        work_auth_reasons("description").alias("_auth"),
+    ))
+
+
+# --- any number of profiles ---------------------------------------------------------------------
+
+RULES = ("profile_version string, families array<string>, low int, high int, remote_only boolean, "
+         "places array<string>")
+
+
+def profile_rules(spark: SparkSession, profiles: list[Profile]) -> DataFrame:
+    """Profiles as a table of their rules; places as words with one blank between them."""
+    return spark.createDataFrame([
+        (p.version, list(p.target_families), SENIORITY_LEVELS.index(p.seniority_min),
+         SENIORITY_LEVELS.index(p.seniority_max), p.remote_only,
+         sorted({n.strip() for n in map(_phrase, p.accepted_locations) if n}))
+        for p in profiles
+    ], RULES)
+
+
+def _open_anywhere() -> Column:
+    """Whether a posting suits every profile's places, as far as they do not matter."""
+    specific, regions = F.col("_specific"), F.col("_regions")
+    return F.coalesce(
+        F.when(F.col("remote"), F.when(F.size(specific) == 0, True)
+               .when(F.size(regions) > 1, F.exists(regions, _us_region))
+               .when(F.col("_says_remote"), _us_region(specific))), F.lit(False))
+
+
+def _place_words() -> Column:
+    """The runs of words in which a profile's place must stand."""
+    specific, regions = F.col("_specific"), F.col("_regions")
+    whole = F.array(F.col("_words"))
+    narrowed = F.filter(F.transform(regions, _specific), lambda w: F.size(w) > 0)
+    return F.when(
+        F.col("remote"),
+        F.when(F.size(specific) == 0, F.array().cast("array<array<string>>"))
+        .when(F.size(regions) > 1, narrowed)
+        .when(F.col("_says_remote"), F.array(specific)).otherwise(whole),
+    ).otherwise(whole)
+
+
+def _accepting(locations: DataFrame, rules: DataFrame) -> DataFrame:
+    """(_place, lists): for each distinct location, the lists of places with a phrase in it."""
+    index = explode_rows(rules.select("list", "places").distinct(), "places", "phrase", "list").distinct()
+    longest = rules.agg(F.max(F.array_max(F.transform("places", lambda p: F.size(F.split(p, " ")))))).first()[0] or 0
+    sizes = F.sequence(F.lit(1), F.lit(max(1, longest)))
+
+    def grams(words: Column) -> Column:
+        return F.flatten(F.transform(sizes, lambda n: F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda k: k + n - 1 <= F.size(words)),
+            lambda k: F.array_join(F.slice(words, k, n), " "))))
+
+    found = F.array_distinct(F.flatten(F.transform("_places", grams)))
+    return explode_rows(locations, found, "phrase", "_place").join(index, "phrase").groupBy("_place").agg(
+        F.collect_set("list").alias("lists"))
+
+
+def verdicts_by_table(postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """:func:`hard_filter_verdicts` for a table of :func:`profile_rules` of any length.
+
+    Every distinct location is looked up once in the index of place phrases. Postings then meet blocks
+    of at most about ``PROFILE_LIMIT`` profiles, because each pair of them has a verdict.
+    """
+    rules = checkpointed(profiles.withColumn("list", F.md5(F.array_join("places", "|"))))
+    count = rules.count()
+    if not count:
+        return hard_filter_verdicts(postings, [])
+    # the key of what location rules look at
+    place = F.concat_ws("|", F.coalesce(F.col("remote").cast("string"), F.lit("-")), "_loc")
+    active = _active(postings).withColumns({
+        "_place": place, "_any": _open_anywhere(), "_rank": seniority_rank(F.col("seniority"))})
+    facts = place_features(postings.where("status = 'active'").select("location", "remote").distinct())
+    facts = facts.select(place.alias("_place"), _place_words().alias("_places")).distinct()
+    narrow = active.select(
+        F.col("id").alias("job_id"), "description_hash", "_auth", "title_family", "seniority", "remote", "_rank",
+        "location", "_loc", "_us", "_any", "_place")
+    known = narrow.join(checkpointed(_accepting(facts, rules)), "_place", "left").drop("_place")
+    blocks = -(-count // PROFILE_LIMIT)
+    dealt = rules.groupBy(F.pmod(F.xxhash64("profile_version"), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct("profile_version", "families", "low", "high", "remote_only", "list")).alias("_profiles"))
+    met = explode_rows(known, F.sequence(F.lit(0), F.lit(blocks - 1)), "_block", *known.columns).join(
+        checkpointed(dealt), "_block").drop("_block")
+    kept = [c for c in met.columns if c != "_profiles"]
+    pairs = inline_rows(met, "_profiles", *kept)
+    accepted = (
+        F.when(F.col("_loc") == "", F.col("remote")).when(F.col("_us"), True)
+        .otherwise(F.col("_any") | F.coalesce(F.array_contains("lists", F.col("list")), F.lit(False)))
+    )
+    family, level = F.col("title_family"), F.col("seniority")
+    reasons = _kept([
+        F.when(family.isNull(), F.lit("role-family:unclassified"))
+        .when(~F.array_contains("families", family), F.concat(F.lit("role-family:"), family)),
+        F.when(F.col("_rank") < F.col("low"), F.concat(F.lit("seniority-below:"), level)),
+        F.when(F.col("_rank") > F.col("high"), F.concat(F.lit("seniority-above:"), level)),
+        F.when(F.col("remote_only") & ~F.col("remote"), F.lit("remote-only")),
+        F.when(~accepted, F.concat(F.lit("location:"), F.lower(F.coalesce("location", F.lit("unspecified"))))),
+    ])
+    return pairs.select(
+        "job_id", "description_hash", "profile_version", F.concat("_auth", reasons).alias("reasons")
+    ).withColumn("hard_filter_pass", F.size("reasons") == 0)
+
+
 def merge_verdicts(scores: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Refresh verdicts in the score table, keyed by (job_id, rubric_version, profile_version).
 

@@ -86,7 +86,8 @@ def _long_matches(lookup: DataFrame, index: DataFrame, threshold: float) -> Data
     """The same where at least one title is long: join on the rarest words, then verify.
 
     A set of n words similar to another shares one of its n - ceil(t*n) + 1 rarest words with the
-    other's rarest words, whatever the common order of words is.
+    other's rarest words, whatever the common order of words is. Where they share the i-th and the j-th,
+    at most the words from there on can be common as well, so most pairs go before titles are compared.
     """
     longest = F.size("tokens") >= F.ceil(F.lit(SUBSET_WORDS * threshold))
     rarity = (
@@ -105,16 +106,19 @@ def _long_matches(lookup: DataFrame, index: DataFrame, threshold: float) -> Data
         n = F.size("tokens")
         keep = n - F.ceil(n * F.lit(threshold)).cast("int") + 1
         return ranked.select(
-            "block", "tokens", F.explode(F.slice("order", F.lit(1), keep)).alias("_w")
-        ).select("block", "tokens", F.col("_w.word").alias("word"))
+            "block", "tokens", F.posexplode(F.slice("order", F.lit(1), keep)).alias("place", "_w")
+        ).select("block", "tokens", "place", F.col("_w.word").alias("word"))
 
     left = prefixed(lookup)
     right = prefixed(index).join(index, ["block", "tokens"]).select(
-        "block", "word", F.col("tokens").alias("other"), "first_seq"
+        "block", "word", F.col("tokens").alias("other"), F.col("place").alias("other_place"), "first_seq"
     )
     a, b = F.size("tokens"), F.size("other")
+    # the first word they share has only unshared ones before it
+    rest = F.least(a - F.col("place"), b - F.col("other_place"))
     return (
         left.join(right, ["block", "word"])
+        .where((1 + F.lit(threshold)) * rest >= F.lit(threshold) * (a + b) - 1e-9)
         .where((F.greatest(a, b) > SUBSET_WORDS) & (F.least(a, b) >= F.greatest(a, b) * threshold))
         .where(token_similarity(F.col("tokens"), F.col("other")) >= threshold)
         .select("block", "tokens", "first_seq")
@@ -135,6 +139,23 @@ def similar_titles(
     return found.groupBy("block", "tokens").agg(F.min("first_seq").alias("first_seq"))
 
 
+# A key with more than this part of the rows a task would get on average is looked up in place.
+HEAVY_SHARE = 4
+
+
+def look_up(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key, without a task for a heavy key.
+
+    Fewer than ``HEAVY_SHARE`` keys per shuffle partition can be heavy, so their rows of ``table`` are
+    broadcast and their rows stay where they are. Pass stored rows: they are counted first.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*by).count()
+    heavy = checkpointed(counts.where(F.col("count") > max(1, rows.count() // (HEAVY_SHARE * parts))).select(*by))
+    hot = rows.join(F.broadcast(table.join(F.broadcast(heavy), by, "left_semi")), by)
+    return rows.join(F.broadcast(heavy), by, "left_anti").join(table, by).unionByName(hot)
+
+
 def assign_parents(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Batch rows with the stage that matched and the sequence number of their parent."""
     # the batch is read by every stage; the stored side is scanned per stage, few columns each
@@ -147,9 +168,10 @@ def assign_parents(existing: DataFrame, batch: DataFrame) -> DataFrame:
         return checkpointed(minima.join(within.select(*by).distinct(), by, "left_semi"))
 
     key = ["source", "source_native_id"]
-    one = rows.join(earliest(key, rows, "by_id"), key)
+    one = checkpointed(look_up(rows, earliest(key, rows, "by_id"), key))
     open_one = one.where("by_id = seq")
-    two = open_one.join(earliest(["canonical_url"], open_one, "by_url"), "canonical_url")
+    url = ["canonical_url"]
+    two = checkpointed(look_up(open_one, earliest(url, open_one, "by_url"), url))
     open_two = two.where("by_url = seq")
     # stage three touches only blocks that still hold an unresolved row
     index = (

@@ -1,4 +1,4 @@
-"""Search profiles: a short list of rows, inlined into plans as literals."""
+"""Search profiles: the stated queries; a short list is inlined into plans as literals."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 from postgrain.rules.constants import TITLE_FAMILIES
 from postgrain.rules.titles import FAMILY_QUERY_TERMS
-from postgrain.session import bounded
 
+# Up to so many profiles are literals of a plan; more are a table that postings meet by joins.
 PROFILE_LIMIT = 200
 
 
@@ -31,10 +31,8 @@ class Profile:
 
 
 def load_profiles(table: DataFrame) -> list[Profile]:
-    """Profiles from a small table; refuses one too long to inline."""
-    rows = table.limit(PROFILE_LIMIT + 1).collect()
-    bounded(rows, PROFILE_LIMIT, "profiles")
+    """Profiles from a table of stated queries, all of them."""
     return [
         Profile(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.asDict().items()})
-        for r in rows
+        for r in table.collect()
     ]

@@ -84,6 +84,16 @@ def hard_filter_verdicts(spark, sf):
         "job_id", "profile_version", F.array_join("reasons", " | ").alias("reasons"), "hard_filter_pass")
 
 
+@query("rule_table_verdicts", S.with_(S.POSTINGS, VERDICTS) + f"""
+SELECT job_id, profile_version, {S.joined('reasons', ' | ')} AS reasons, len(reasons) = 0 AS hard_filter_pass
+FROM verdicts""")
+def rule_table_verdicts(spark, sf):
+    """The same by the way that long lists of profiles take."""
+    rules = FL.profile_rules(spark, list(B.PROFILES))
+    return FL.verdicts_by_table(B.postings(spark, sf), rules).select(
+        "job_id", "profile_version", F.array_join("reasons", " | ").alias("reasons"), "hard_filter_pass")
+
+
 @query("filter_reason_counts", S.with_(S.POSTINGS, VERDICTS) + """
 SELECT profile_version, reason, count(*) AS postings
 FROM (SELECT profile_version, unnest(reasons) AS reason FROM verdicts) GROUP BY ALL""")
