@@ -16,6 +16,7 @@ from postgrain.functions.text import sha256, trim
 from postgrain.operators.profiles import Profile
 from postgrain.rules.constants import THREAD_BATCH
 from postgrain.schemas import THREAD_POSTING
+from postgrain.session import checkpointed
 
 
 def thread_comments(comments: DataFrame, limit: int | None = None) -> DataFrame:
@@ -30,14 +31,26 @@ def pending_batches(
 ) -> DataFrame:
     """Comments not cached for this prompt, numbered into batches per thread, in thread order.
 
-    A cached empty result counts as cached. At most the thread's comment limit is ranked per
-    thread.
+    A cached empty result counts as cached. Positions are cut into ranges; the counts of a thread's
+    ranges give where each begins, so a thread of any size is numbered by many tasks. Equal positions
+    of a thread go by comment_id.
     """
     done = cache.where(F.col("prompt_version") == prompt_version).select("comment_id")
-    place = F.row_number().over(W.partitionBy("thread_id").orderBy("position"))
-    return comments.join(done, "comment_id", "left_anti").withColumn(
-        "batch_no", F.floor((place - 1) / size)
-    )
+    pending = comments.join(done, "comment_id", "left_anti")
+    parts = int(comments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / parts for k in range(1, parts)]
+    # the cuts place rows only: any would give the same numbers
+    cuts = comments.select(F.percentile_approx("position", shares, 100 * parts)).first()[0] if shares else None
+    cuts = sorted(set(cuts or []))
+    spread = pending.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c < F.col("position"))) if cuts else F.lit(0))
+    keys = ["thread_id", "_range"]
+    before = W.partitionBy("thread_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = spread.groupBy(*keys).count()  # at most a row per thread and range
+    begins = checkpointed(counts.select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("position", "comment_id"))
+    numbered = spread.withColumn("_place", place).join(begins, keys)
+    return numbered.withColumn("batch_no", F.floor((F.col("_before") + F.col("_place") - 1) / size)).drop(
+        "_range", "_place", "_before")
 
 
 def extract_batches(

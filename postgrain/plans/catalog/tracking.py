@@ -92,6 +92,41 @@ def export_rows(spark, sf):
     return export_text(H.export_rows(_entries(spark, sf).orderBy(F.desc("rubric_score"), "job_id")))
 
 
+def _csv_cell(column: str) -> str:
+    number = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+    guarded = (f"CASE WHEN regexp_matches({column}, {S.lit('^[=+@' + chr(9) + chr(13) + '-]')}) "
+               f"AND NOT regexp_matches(trim({column}), {S.lit(number)}) THEN chr(39) || {column} ELSE {column} END")
+    return (f"CASE WHEN regexp_matches({guarded}, {S.lit('[' + chr(34) + ',' + chr(13) + chr(10) + ']')}) "
+            f"THEN chr(34) || replace({guarded}, chr(34), chr(34) || chr(34)) || chr(34) ELSE {guarded} END")
+
+
+@query("csv_lines", f"""
+SELECT doc_id::VARCHAR || ',' || {_csv_cell("coalesce(source, '')")} || ',' || {_csv_cell("coalesce(text, '')")} AS line
+FROM documents""")
+def csv_lines(spark, sf):
+    """Whole texts as cells: their line breaks, commas and quotes stay."""
+    from postgrain.session import read_table
+    from postgrain.sources import tables
+    return tables.csv_lines(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
+@query("bronze_archive", """
+SELECT run_id, source, count(*) AS items, sum(length(text))::BIGINT AS characters
+FROM (SELECT unnest([1, 2]) AS run_id, source, doc_id, coalesce(text, '') AS text FROM documents) WHERE run_id = 1 OR doc_id % 2 = 0
+GROUP BY ALL""")
+def bronze_archive(spark, sf):
+    """Two runs appended to the raw archive, read back by source."""
+    from postgrain.session import new_shared_folder, read_table
+    from postgrain.sources import tables
+    items = read_table(spark, sf, "documents").select(
+        "source", F.col("doc_id").cast("string").alias("source_native_id"), F.coalesce("text", F.lit("")).alias("payload"), "doc_id")
+    folder = new_shared_folder(spark, "bronze")
+    tables.append_bronze(items, folder, 1, F.current_timestamp())
+    tables.append_bronze(items.where("doc_id % 2 = 0"), folder, 2, F.current_timestamp())
+    return spark.read.parquet(folder).groupBy("run_id", "source").agg(
+        F.count("*").alias("items"), F.sum(F.length("payload")).alias("characters"))
+
+
 _LONG = " UNION ALL ".join(
     f"SELECT job_id, {n + 1} AS place, {S.lit(name)} AS dimension, {S.lit(label)} AS label, "
     f"CAST((doc_id + {n}) % 13 AS DOUBLE) AS score, 'e1,{name}' AS evidence, 'note {n}' AS note "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +39,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
             "spark.checkpoint.dir", None
         )
         if folder is None:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="postgrain-checkpoints-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def new_shared_folder(spark: SparkSession, label: str) -> str:
+    """A path that no other call has, in the shared folder of the session (see :func:`checkpointed`)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = "file://" + tempfile.mkdtemp(prefix="postgrain-tables-")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 # Below this size a table is read as it is, however few partitions that gives.
 SPREAD_BYTES = 256 * 1024
 

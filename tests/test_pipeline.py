@@ -102,14 +102,34 @@ def test_embedded_json(spark):
 def test_csv_export(spark, tmp_path):
     rows = spark.createDataFrame([("=x", 1.0, None, 'a "q", b\nc')], "a string, b double, c string, d string")
     T.write_csv_export(rows.coalesce(1), str(tmp_path / "out"))
-    text = next((tmp_path / "out").glob("*.csv")).read_bytes().decode()
-    assert text == "a,b,c,d\r\n'=x,1,,\"a \"\"q\"\", b c\"\r\n"
+    text = next((tmp_path / "out").glob("part-*")).read_bytes().decode()
+    assert text == "a,b,c,d\r\n'=x,1,,\"a \"\"q\"\", b\nc\"\r\n"
+
+
+def test_csv_cells_come_back_unchanged_in_order(spark, tmp_path):
+    import csv
+
+    cells = ["plain", "", "a,b", '"', "x\ry", "x\r\ny\n", " lead", "é", "'q'", '",\n"']
+    rows = spark.createDataFrame([(k, cells[k % 10], cells[k % 7]) for k in range(300)], "k int, `a,b` string, c string")
+    T.write_csv_export(rows.orderBy("k"), str(tmp_path / "out"))
+    got = []
+    for part in sorted((tmp_path / "out").glob("part-*")):
+        with part.open(newline="") as file:
+            head, *lines = csv.reader(file)
+            assert head == ["k", "a,b", "c"]
+            got += lines
+    assert got == [[str(k), cells[k % 10], cells[k % 7]] for k in range(300)]
+    T.write_csv_export(rows.limit(0), str(tmp_path / "none"))
+    assert b"".join(p.read_bytes() for p in (tmp_path / "none").glob("part-*")) == b'k,"a,b",c\r\n'
 
 
 def test_seeds_and_bronze(spark, tmp_path):
     (tmp_path / "seeds.csv").write_text("name,board,token,verified\nAcme,lever,acme,true\nBad,lever,bad,false\n")
     seeds = T.read_board_seeds(spark, str(tmp_path / "seeds.csv"))
     assert [s.token for s in seeds.collect()] == ["acme"]
+    shipped = T.board_seeds(spark, only_verified=False)
+    assert shipped.count() > T.board_seeds(spark).count() > 90 and shipped.schema == seeds.schema
+    assert shipped.select("board", "token").distinct().count() == shipped.count()
     items = spark.createDataFrame([("lever", "1", "{}", "u", "c", "t", None, None, "d", None, None)], RAW_ITEM)
     for run in (1, 2):
         T.append_bronze(items, str(tmp_path / "bronze"), run, F.current_timestamp())
