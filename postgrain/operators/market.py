@@ -16,6 +16,7 @@ from postgrain.functions.money_time import round_half_up
 from postgrain.functions.skills import match_skill_list, match_skills, term_pattern
 from postgrain.functions.text import bind
 from postgrain.operators.profiles import Profile
+from postgrain.operators.term_filter import BUCKETS, may_reach, reaching_bits
 from postgrain.rules import constants as C
 from postgrain.rules.skills import SKILLS, prose_terms
 from postgrain.rules.stopwords import STOPWORDS
@@ -107,11 +108,22 @@ def candidate_terms(text: Column | str, stopwords=STOPWORDS) -> Column:
     return bind(slots, terms)
 
 
-def term_counts(rows: DataFrame, stopwords=STOPWORDS) -> DataFrame:
-    """(term, companies, postings) over rows of (company_normalized, description)."""
+def term_counts(
+    rows: DataFrame, stopwords=STOPWORDS, least: int = 1, buckets: int = BUCKETS
+) -> DataFrame:
+    """(term, companies, postings) over rows of (company_normalized, description).
+
+    With ``least`` above 1, terms in fewer postings may be missing, and most of them are: the texts
+    are read once more before, and only terms that a counting filter of ``buckets`` counters lets
+    through are shuffled. Counts of the terms that are returned are exact.
+    """
+    terms = candidate_terms("description", stopwords)
+    found = explode_rows(rows, terms, "term", "company_normalized")
+    if least > 1:
+        bits = reaching_bits(rows.select(terms.alias("terms")), "terms", least, buckets)
+        found = found.where(may_reach("term", bits, buckets))
     return (
-        explode_rows(rows, candidate_terms("description", stopwords), "term", "company_normalized")
-        .groupBy("term", "company_normalized").agg(F.count("*").alias("n"))
+        found.groupBy("term", "company_normalized").agg(F.count("*").alias("n"))
         .groupBy("term").agg(F.count("*").alias("companies"), F.sum("n").alias("postings"))
     )
 
@@ -119,12 +131,18 @@ def term_counts(rows: DataFrame, stopwords=STOPWORDS) -> DataFrame:
 def discover_terms(
     rows: DataFrame, stopwords=STOPWORDS, skills=SKILLS,
     min_postings: int = C.DISCOVERY_MIN_POSTINGS, min_companies: int = C.DISCOVERY_MIN_COMPANIES,
-    limit: int = C.DISCOVERY_LIMIT,
+    limit: int = C.DISCOVERY_LIMIT, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """The most widespread terms the lexicon does not know (a top-k report)."""
+    """The most widespread terms the lexicon does not know (a top-k report).
+
+    ``buckets`` is the size of the filter that keeps rare terms from being shuffled; it never
+    changes the result.
+    """
+    # a term of so many companies is in at least as many postings
+    least = max(min_postings, min_companies)
     known = F.regexp_like("term", F.lit(term_pattern(prose_terms(skills))))
     return (
-        term_counts(rows, stopwords)
+        term_counts(rows, stopwords, least, buckets)
         .where((F.col("postings") >= min_postings) & (F.col("companies") >= min_companies))
         .where(~known)
         .orderBy(F.desc("companies"), F.desc("postings"), "term").limit(limit)
