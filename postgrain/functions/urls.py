@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postgrain.functions.hosts import ascii_host
 from postgrain.functions.text import bind, col_of, replace_each, trim
 from postgrain.rules.constants import SOURCE_HOME, TRACKING_PARAMS
 
@@ -73,16 +74,20 @@ def _clean_query(query: Column) -> Column:
             ).alias("v"),
         ),
     )
-    kept = F.array_sort(F.filter(parsed, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS)))
+    kept = F.filter(parsed, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS))
+    # root collation: case and accents only decide between words that are equal without them
+    ordered = F.array_sort(F.transform(kept, lambda p, i: F.struct(
+        F.collate(p["k"], "UNICODE").alias("by_key"), F.collate(p["v"], "UNICODE").alias("by_value"),
+        i.alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
     return F.array_join(
-        F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))),
+        F.transform(ordered, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))),
         "&",
     )
 
 
 def _authority(url: Column) -> Column:
-    """Lower-case host and port without user info."""
-    return F.lower(F.regexp_replace(_part(url, 2), "^.*@", ""))
+    """Lower-case host and port without user info; international names in ASCII."""
+    return ascii_host(F.lower(F.regexp_replace(_part(url, 2), "^.*@", "")))
 
 
 def _without_default_port(parts: Column) -> Column:
@@ -96,7 +101,8 @@ def _without_default_port(parts: Column) -> Column:
 def canonicalize_url(value: Column | str) -> Column:
     """One spelling per page: host folded, tracking and fragment dropped, parameters sorted.
 
-    Parameters sort in binary order. Anything that is no http(s) URL comes back trimmed.
+    Parameters sort by the root collation of Unicode (key, then value), as browsers compare text;
+    equal ones keep their order. Anything that is no http(s) URL comes back trimmed.
     """
 
     def assemble(parts: Column) -> Column:

@@ -62,6 +62,29 @@ def canonical_urls(spark, sf):
              U.safe_url("u", "src").alias("safe_url"), U.host_of("u").alias("host"))
 
 
+# Host labels and their published ASCII forms.
+_INTERNATIONAL = {
+    "Bücher": "xn--bcher-kva", "MÜNCHEN": "xn--mnchen-3ya", "faß": "xn--fa-hia",
+    "пример": "xn--e1afmkfd", "παράδειγμα": "xn--hxajbheg2az3al", "例え": "xn--r8jz45g",
+    "测试": "xn--0zwm56d", "plain": "plain",
+}
+_MIXED = "?b=1&A=2&a=2&B=0&ä=1&a=10&_x=1&Z=&utm_source=q&a-b=3"
+
+
+@query("international_urls", f"""
+SELECT page_id, 'https://' || host || '/' || page_id ||
+  '?_x=1&a=10&a=2&A=2&%C3%A4=1&a-b=3&b=1&B=0&Z=' AS canonical_url, host
+FROM (SELECT page_id, {S.pick(list(_INTERNATIONAL.values()), f'page_id % {len(_INTERNATIONAL)}')} || '.'
+  || lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages)""")
+def international_urls(spark, sf):
+    p = F.col("page_id")
+    label = B.pick(list(_INTERNATIONAL), p % len(_INTERNATIONAL))
+    site = F.regexp_extract("url", "://([^/?#]+)", 1)
+    made = F.concat(F.lit("https://"), label, F.lit("."), site, F.lit("/"), p.cast("string"), F.lit(_MIXED))
+    return read_table(spark, sf, "pages").select("page_id", made.alias("u")).select(
+        "page_id", U.canonicalize_url("u").alias("canonical_url"), U.host_of("u").alias("host"))
+
+
 @query("squashed_text", f"""
 SELECT doc_id, sha256({S.squash('text')}) AS squashed, sha256(text) AS content_hash,
   length(text) AS shown_chars

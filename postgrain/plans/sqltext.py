@@ -144,7 +144,9 @@ def canonical_url(url: str) -> str:
     kept = (
         f"list_sort(list_transform(list_filter(string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&'), "
         f"lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({drop})), "
-        "lambda p: {'k': split_part(p, '=', 1), 'v': split_part(p, '=', 2)}))"
+        "lambda p: {'a': icu_sort_key(split_part(p, '=', 1), 'root'), "
+        "'b': icu_sort_key(split_part(p, '=', 2), 'root'), "
+        "'k': split_part(p, '=', 1), 'v': split_part(p, '=', 2)}))"
     )
     query = f"array_to_string(list_transform({kept}, lambda p: p.k || '=' || p.v), '&')"
     return (f"CASE WHEN {ok} THEN lower(regexp_extract({u}, '^([A-Za-z]+)', 1)) || '://' || {host} || "

@@ -30,7 +30,7 @@ def apply(spark, function, *values):
     (U.canonicalize_url, {
         " HTTP://WWW.Ex.com:80/a/b/?utm_source=x&b=2&a=1#t ": "http://ex.com/a/b?a=1&b=2",
         "https://ex.com": "https://ex.com/", "ftp://x": "ftp://x", "not a url": "not a url",
-        "https://u:p@ex.com:8443/a/../b/./c//?B=1&a=2&a=1": "https://ex.com:8443/b/c?B=1&a=1&a=2",
+        "https://u:p@ex.com:8443/a/../b/./c//?B=1&a=2&a=1": "https://ex.com:8443/b/c?a=1&a=2&B=1",
         "https://ex.com/é x?q=%zz+y": "https://ex.com/%C3%A9%20x?q=%25zz+y",
         "https://ex.com/?REF=a&flag": "https://ex.com/?flag=", "https:///x": "https://x/",
     }),
