@@ -18,6 +18,8 @@ from postgrain.plans.registry import query
 from postgrain.schemas import THREAD_POSTING
 from postgrain.session import read_table
 from postgrain.sources import feeds as R
+from postgrain.sources.tables import SEEDS
+from postgrain.streaming.ingest import flatten_landed
 
 _SHOWN = ("source_native_id", "url", "company", "title", "location", "remote", "salary_text")
 
@@ -334,7 +336,7 @@ def read_linkedin(spark, sf):
     return _shown(R.good(R.read_linkedin(unique, details, stored)))
 
 
-def _thread_comments(spark, sf) -> DataFrame:
+def _thread_bodies(spark, sf) -> DataFrame:
     talk = read_table(spark, sf, "conversations")
     child = F.to_json(F.struct(
         (c("conv_id") * 1000 + c("turn")).alias("id"), F.lit("2024-01-02T03:04:05.000Z").alias("created_at"),
@@ -342,8 +344,11 @@ def _thread_comments(spark, sf) -> DataFrame:
     body = F.concat(F.lit('{"id":1,"children":['), F.array_join(F.transform("xs", lambda v: v["j"]), ","), F.lit("]}"))
     # a conversation is a thread; its turns are the top-level comments
     threads = talk.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", child.alias("j")))).alias("xs"))
-    return R.read_thread_comments(
-        threads.select(c("conv_id").cast("string").alias("thread_id"), body.alias("payload")))
+    return threads.select(c("conv_id").cast("string").alias("thread_id"), body.alias("payload"))
+
+
+def _thread_comments(spark, sf) -> DataFrame:
+    return R.read_thread_comments(_thread_bodies(spark, sf))
 
 
 @query("read_hn", f"""
@@ -371,6 +376,60 @@ def read_hn(spark, sf):
     return _shown(R.good(R.read_hn(comments, found)))
 
 
+_COMPOSED_SQL = """
+, lk AS (SELECT CAST(id + 1000000 AS VARCHAR) AS sid, id FROM feed),
+spoken AS (SELECT conv_id, turn, conv_id * 1000 + turn AS cid FROM conversations WHERE turn % 5 <> 3)
+SELECT 'linkedin' AS source, sid AS source_native_id, NULL AS reason FROM lk
+  WHERE id % 19 <> 0 AND (id % 5 = 0 OR (id % 7 <> 0 AND id % 11 <> 0))
+UNION ALL SELECT 'linkedin', sid, 'linkedin job ' || sid || ' detail failed' FROM lk
+  WHERE id % 19 <> 0 AND id % 5 <> 0 AND id % 11 = 0
+UNION ALL SELECT 'linkedin', sid, 'linkedin job ' || sid || ' returned no description block' FROM lk
+  WHERE id % 19 <> 0 AND id % 5 <> 0 AND id % 11 <> 0 AND id % 7 = 0
+UNION ALL SELECT 'linkedin', sid, 'linkedin detail ' || sid || ' has no card' FROM lk
+  WHERE id % 19 = 0 AND id % 11 <> 0
+UNION ALL SELECT 'hn', conv_id || ':' || cid || ':0', NULL FROM spoken WHERE cid % 7 <> 0 AND cid % 3 <> 0
+UNION ALL SELECT 'hn', CAST(cid AS VARCHAR), 'hn comment ' || cid || ' has no extraction' FROM spoken WHERE cid % 7 = 0
+UNION ALL SELECT 'hn', CAST(conv_id * 1000 + turn AS VARCHAR),
+  'hn extraction ' || (conv_id * 1000 + turn) || ' has no comment' FROM conversations
+  WHERE turn % 5 = 3 AND (conv_id * 1000 + turn) % 14 > 7"""
+
+
+@query("landed_composed", _BASE + _COMPOSED_SQL)
+def landed_composed(spark, sf):
+    """Items and rejects of landed search pages, detail pages, threads and extractions."""
+    def landing(category: str, token: Column, payload: Column) -> list[Column]:
+        source = "linkedin" if category in ("results", "detail") else "hn"
+        return [F.lit(source).alias("source"), token.alias("token"), F.lit(category).alias("category"),
+                payload.alias("payload")]
+
+    i, none = c("id"), F.lit(None).cast("string")
+    first = [F.lit(0).alias("query_no"), F.lit(0).alias("page")]
+    cards = _cards(spark, sf).select(*landing("results", none, c("payload")), "query_no", "page")
+    ident = (i + 1000000).cast("string")
+    entries = _entries(spark, sf)
+    details = entries.where(i % 11 != 0).select(*landing("detail", ident, F.when(
+        i % 7 == 0, F.lit("<p>gone</p>")).otherwise(F.concat(
+            F.lit('<section><div class="show-more-less-html__markup x">'), c("html"),
+            F.lit("</div></section>")))), *first)
+    stored = entries.where(i % 5 == 0).select(
+        ident.alias("source_native_id"), F.concat(F.lit("kept "), i.cast("string")).alias("description"))
+    talk = read_table(spark, sf, "conversations").withColumn("cid", c("conv_id") * 1000 + c("turn"))
+    found = F.when(c("cid") % 3 == 0, F.lit("[]")).otherwise(F.concat(
+        F.lit('[{"company":"Co'), c("cid"), F.lit('","title":"T","summary":"s"},{"company":" ","title":"U"}]')))
+    # some extractions landed, the others are cached
+    named = talk.where("cid % 7 <> 0").withColumn("found", found)
+    landed_now = named.where("cid % 14 >= 7").select(
+        *landing("extraction", c("cid").cast("string"), c("found")), *first)
+    cached = named.where("cid % 14 < 7").select(
+        c("cid").cast("string").alias("comment_id"),
+        F.from_json("found", f"array<{THREAD_POSTING}>").alias("postings"))
+    threads = _thread_bodies(spark, sf).select(*landing("thread", c("thread_id"), c("payload")), *first)
+    landed = cards.unionByName(details).unionByName(threads).unionByName(landed_now)
+    seeds = spark.createDataFrame([], SEEDS)
+    items, bad = flatten_landed(landed, seeds, stored, cached)
+    return items.select("source", "source_native_id", none.alias("reason")).unionByName(bad)
+
+
 @query("feed_rejects", _BASE + """
 SELECT 'remotive' AS source, CASE WHEN has_id THEN CAST(id AS VARCHAR) END AS source_native_id,
   'remotive entry ' || CASE WHEN has_id THEN CAST(id AS VARCHAR) ELSE '(no id)' END || ' missing title or company' AS reason

@@ -225,12 +225,12 @@ def test_two_runs_end_to_end(spark, items):
 def test_unread_sources_are_rejects(spark):
     from postgrain.streaming.ingest import flatten_landed
 
-    rows = [(s, None, 0, 0, "{}") for s in ("linkedin", "hn", "somewhere", None)]
+    rows = [(s, None, 0, 0, "{}") for s in ("elsewhere", "somewhere", None)]
     landed = spark.createDataFrame(rows, "source string, token string, query_no int, page int, payload string")
     items, bad = flatten_landed(landed, spark.createDataFrame([], T.SEEDS))
     assert items.count() == 0
     assert sorted((r.source or "", r.reason) for r in bad.collect()) == [
-        (s, "no reader for this source") for s in ("", "hn", "linkedin", "somewhere")]
+        (s, "no reader for this source") for s in ("", "elsewhere", "somewhere")]
 
 
 def test_scores_of_other_profiles_stay(spark):
