@@ -203,18 +203,40 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM
 SELECT g.doc_id, len(s)::BIGINT AS n_shingles, c AS component_id
 FROM g JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = g.doc_id"""
 
-ORACLE["op10_license_rules"] = rf"""
-WITH k AS (SELECT MAP {{ {", ".join(f"'{s}': '{n}'" for s, n in license_sentences.known_sentences().items())} }} AS known,
-  MAP {{ {", ".join(f"'{run}': '{name}'" for name, run in license_sentences.RULES)} }} AS names),
-d AS MATERIALIZED (
-  SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '{license_sentences.ANCHORS}') THEN array_to_string(list_transform(
-    list_filter(list_transform(regexp_split_to_array({_LOWERED.format("text")}, '[.!?]+[ \t\r\n]+|\n|[.!?]+\z'),
-      lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> ''),
-    lambda s: coalesce(known[s], '-')), '') ELSE '' END AS ids, names
-  FROM documents, k),
-m AS (SELECT doc_id, ids, names, regexp_extract_all(ids, '{"|".join(run for _, run in license_sentences.RULES)}') AS runs FROM d)
-SELECT doc_id, length(replace(ids, '-', ''))::BIGINT AS n_sentences, len(runs)::BIGINT AS n_licenses,
-  array_to_string(list_transform(runs, lambda r: names[r]), ',') AS licenses FROM m"""
+
+def _licenses_sql() -> str:
+    """Tags are split by repeated replacement, sentences and rules are joined; every text is read, with no test for anchors."""
+    ls = license_sentences
+    rows = lambda pairs: ", ".join("('{}', '{}')".format(*p) for p in pairs)
+    text = f"translate(translate(coalesce(text, ''), '{ls.UPPER}', '{ls.LOWER}'), '~|', '  ')"
+    tag = r"(spdx-license-identifier:[ \t(]*[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\+?)"
+    for _ in range(7):  # of up to eight licences
+        text = rf"regexp_replace({text}, '{tag}[ \t)]+(?:and|or|with)[ \t(]{{1,9}}', '\1|spdx-license-identifier:', 'g')"
+    text = rf"regexp_replace({text}, 'spdx-license-identifier:[ \t(]*{ls.OPERAND}', '|spdx \1|', 'g')"
+    for pattern, to in ls.STEPS:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern, to.replace("$", "\\").replace("'", "''"))
+    plain = "rtrim(translate(part, '~|', '  '))"
+    for s in (s for s in ls.SENTENCES.values() if "*" in s):
+        plain = f"regexp_replace({plain}, '^{ls._pattern(s, ' ', '(?:.* )?')}$', '{ls._words(s)}')"
+    return rf"""
+WITH known(words, id) AS (VALUES {rows(ls.known_sentences().items())}),
+rules(run, name) AS (VALUES {rows((ls.written(run), name) for name, run in ls.RULES)}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {text} AS t FROM documents),
+s AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS k
+  FROM (SELECT r, regexp_extract_all(t, '(?:{ls.sentence_pattern()})(?:[~|]|\z)|[^~|]+') AS parts FROM d)),
+p AS MATERIALIZED (SELECT r, k, {plain} AS plain FROM s WHERE NOT regexp_full_match(rtrim(part, '~|'), '{ls.ITEM}')),
+i AS (SELECT r, k, coalesce(a.id, b.id, '-') AS id FROM p LEFT JOIN known a ON a.words = plain
+  LEFT JOIN known b ON b.words = regexp_replace(plain, '^{ls.STATES}(.+)$', 'says \1')),
+g AS MATERIALIZED (SELECT r, string_agg('#' || id || ' ', '' ORDER BY k) AS ids, count(*) FILTER (id <> '-') AS n FROM i GROUP BY r),
+u AS (SELECT r, unnest(runs) AS run, generate_subscripts(runs, 1) AS k
+  FROM (SELECT r, regexp_extract_all(ids, '{ls.rule_pattern()}') AS runs FROM g)),
+l AS (SELECT r, count(*) AS n, string_agg(coalesce(name, regexp_extract(run, ':([^ ]+)', 1)), ',' ORDER BY k) AS names
+  FROM u LEFT JOIN rules USING (run) GROUP BY r)
+SELECT doc_id, coalesce(g.n, 0)::BIGINT AS n_sentences, coalesce(l.n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses
+FROM d LEFT JOIN g USING (r) LEFT JOIN l USING (r)"""
+
+
+ORACLE["op10_license_rules"] = _licenses_sql()
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ORACLE["op7_warc_members"] = f"""
