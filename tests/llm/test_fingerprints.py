@@ -1,7 +1,11 @@
+import base64
 import hashlib
 import random
 
+import numpy as np
+
 from postgrain.llm.fingerprints import chunk_set, containment, edited_fingerprints, fingerprints, written
+from postgrain.llm.wordhash import mixed
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "né", "ß") for b in ("ra", "sto", "pe", "vun", "x")]
 
@@ -10,6 +14,48 @@ def prose(rng, count):
     return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(count))
 
 
+def chunks_one_by_one(text):
+    """Chunks as strings: a rolling hash, one code point after the other; only its random words are the module's."""
+    out, start, rolling = [], 0, 0
+    for end, c in enumerate(text, 1):
+        rolling = (2 * rolling + int(mixed(np.array([ord(c)], np.uint64), 41)[0])) % 2**32
+        size = end - start
+        zeros = 6 if size < 32 else 4
+        if size == 128 or (size >= 16 and rolling % 2**zeros == 0) or end == len(text):
+            out.append(text[start:end])
+            start = end
+    return out
+
+
+def share(inner, outer):
+    inner, outer = set(inner), set(outer)
+    return sum(map(len, inner & outer)) / sum(map(len, inner)) if inner else float(not outer)
+
+
+def test_chunks_are_those_of_a_rolling_hash():
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice([0, 1, 2, 4, 30, 200])) for _ in range(60)]
+    texts += ["", "z" * 15, "z" * 16, "z" * 17, "z" * 1000, "é" * 128, "😀ab" * 300, "".join(chr(rng.randrange(32, 0xD000)) for _ in range(3000))]
+    texts += [t[:len(t) // 2] + "!" + t[len(t) // 2:] for t in texts[:60]]
+    plain = {t: chunks_one_by_one(t) for t in texts}
+    name = {}
+    for text, chunks in plain.items():
+        digests, sizes = chunk_set(text)
+        assert sorted(sizes) == sorted(map(len, set(chunks)))
+        for chunk in set(chunks):  # a chunk has one digest wherever it stands, and no other chunk has it
+            name.setdefault(chunk, chunk_set(chunk)[0][0] if len(chunks_one_by_one(chunk)) == 1 else None)
+        alone = [name[c] for c in set(chunks) if name[c] is not None]
+        assert set(alone) <= set(digests)
+        packed = base64.b64decode(written((digests, sizes)))
+        assert len(packed) == 9 * len(set(chunks)) and packed[:8 * len(digests)] == b"".join(int(d).to_bytes(8, "little") for d in digests)
+    known = [d for d in name.values() if d is not None]
+    assert len(set(known)) == len(known) > 0.95 * len(name) and len(name) > 400
+    for a, b in zip(texts, texts[1:] + texts[:1], strict=True):
+        assert abs(containment(chunk_set(a), chunk_set(b)) - share(plain[a], plain[b])) < 1e-12
+    for a, b in zip(texts[:60], texts[-60:], strict=True):
+        assert abs(containment(chunk_set(a), chunk_set(b)) - share(plain[a], plain[b])) < 1e-12
+
+
 def brute_force(rows):
     """Every document against the next by falling id, one at a time."""
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256(r[1].encode()).hexdigest()))
