@@ -280,9 +280,9 @@ def _rss(spark, sf) -> DataFrame:
         c("encoded"), F.lit("</description><pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate>"),
         F.when(c("id") % 2 == 0, F.concat(F.lit("<guid>g"), c("id").cast("string"), F.lit("</guid>"))).otherwise(""),
         F.lit("<link>https://weworkremotely.com/r/"), c("id").cast("string"), F.lit("?a=1&amp;b=2</link></item>"))
-    rows = _entries(spark, sf).withColumn("query_no", F.explode(F.array(F.lit(0), F.lit(1)))).where(
-        "query_no = 0 OR id % 2 = 0")
-    bodies = rows.select("query_no", "page", "id", entry.alias("x")).groupBy("query_no", "page").agg(
+    rows = _entries(spark, sf).select("page", "id", entry.alias("x")).withColumn(
+        "query_no", F.explode(F.array(F.lit(0), F.lit(1)))).where("query_no = 0 OR id % 2 = 0")
+    bodies = rows.groupBy("query_no", "page").agg(
         F.array_sort(F.collect_list(F.struct("id", "x"))).alias("xs"))
     return bodies.select(
         "query_no", "page", B.pick(("programming", "devops"), c("query_no")).alias("category"),

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postgrain.functions import money_time as M
-from postgrain.functions.fanout import posexplode_rows
+from postgrain.functions.fanout import posexplode_rows, settled
 from postgrain.functions.patterns import SPACE
-from postgrain.functions.text import blank_to_null, decode_entities, html_to_text, squash, trim
+from postgrain.functions.text import bind, blank_to_null, decode_entities, html_to_text, squash, trim
 from postgrain.schemas import RAW_ITEM
 
 _COLUMNS = RAW_ITEM.fieldNames()
@@ -410,34 +410,32 @@ def read_weworkremotely(pages: DataFrame) -> DataFrame:
         F.slice(F.split("payload", "<item>", -1), F.lit(2), F.lit(1 << 30)),
         lambda c: F.contains(c, F.lit("</item>")),
     )
-    items = pages.withColumn("_chunk", F.explode_outer(F.when(F.size(chunks) > 0, F.transform(
+    items = pages.withColumn("_chunk", F.explode_outer(F.transform(
         chunks, lambda c, i: F.struct(i.alias("pos"), F.substring_index(c, "</item>", 1).alias("xml"))
-    )))).where("_chunk IS NOT NULL")
-    element = F.lit(r"(?s)<([a-zA-Z][\w-]*)>(.*?)</\1>")
-    parsed = items.withColumns({
-        "_names": F.regexp_extract_all("_chunk.xml", element, F.lit(1)),
-        "_values": F.regexp_extract_all("_chunk.xml", element, F.lit(2)),
-    })
+    ))).where("_chunk IS NOT NULL")
+    element = F.lit(r"(?s)<([a-zA-Z][\w-]*)>.*?</\1>")
+    kept = [c for c in pages.columns if c not in ("payload", "company")]
+    parsed = settled(items, *kept, "_chunk", F.regexp_extract_all("_chunk.xml", element, F.lit(0)).alias("_elements"))
 
     def field(name: str) -> Column:
-        at = F.array_position("_names", F.lit(name))
-        value = F.get("_values", (at - 1).cast("int"))
-        plain = F.regexp_replace(
-            value, rf"(?s)^{SPACE}*<!\[CDATA\[(.*?)\]\]>{SPACE}*$", "$1")
+        tag = f"<{name}>"
+        found = F.get(F.filter("_elements", lambda e: F.startswith(e, F.lit(tag))), 0)
+        value = F.substring(found, F.lit(len(tag) + 1), F.length(found) - 2 * len(tag) - 1)
+        plain = bind(value, lambda v: F.when(F.contains(v, F.lit("<![CDATA[")), F.regexp_replace(
+            v, rf"(?s)^{SPACE}*<!\[CDATA\[(.*?)\]\]>{SPACE}*$", "$1")).otherwise(v))
         return F.coalesce(trim(plain), F.lit(""))
 
-    kept = [c for c in pages.columns if c not in ("payload", "company")]
-    # one projection per step: each column below is used several times by the next one
-    fields = parsed.select(
-        *kept, "_chunk", decode_entities(field("title")).alias("_heading"),
+    # one step each: every column below is used several times by the next one, and rows are filtered by some
+    fields = settled(
+        parsed, *kept, "_chunk", decode_entities(field("title")).alias("_heading"),
         trim(decode_entities(field("link"))).alias("_link"),
         trim(decode_entities(field("guid"))).alias("_guid"),
         trim(decode_entities(field("region"))).alias("_region"),
         field("description").alias("_body"), field("pubDate").alias("_date"),
     )
     headed = F.instr("_heading", ":") > 0
-    named = fields.select(
-        *kept, "_chunk", "_link", "_region", "_body", "_date",
+    named = settled(
+        fields, *kept, "_chunk", "_link", "_region", "_body", "_date",
         _or(F.col("_guid"), F.col("_link")).alias("_guid"),
         F.when(headed, trim(F.substring_index("_heading", ":", 1))).otherwise("").alias("_company"),
         trim(F.regexp_replace("_heading", "^[^:]*:", "")).alias("_title"),
@@ -473,8 +471,8 @@ def read_linkedin_cards(pages: DataFrame) -> DataFrame:
     href = F.regexp_extract("_card", r'href="(https://[a-z.]*linkedin\.com/jobs/view/[^"]+)"', 1)
     path = F.substring_index(decode_entities(href), "?", 1)
     ident = F.regexp_extract(path, r"(\d{6,})$", 1)
-    return cards.select(
-        *[c for c in cards.columns if c != "_card"],
+    return settled(
+        cards, *[c for c in cards.columns if c != "_card"],
         ident.alias("source_native_id"),
         F.concat(F.lit("https://www.linkedin.com/jobs/view/"), ident).alias("url"),
         between("base-search-card__title").alias("title"),
@@ -498,15 +496,22 @@ def linkedin_description(html: Column | str) -> Column:
     body = F.regexp_extract(page, r"(?s)show-more-less-html__markup[^>]*>(.*)$", 1)
     kept = body
     for marker in _DETAIL_ENDS:
-        at = F.instr(kept, marker)
-        head = F.substring(kept, F.lit(1), at - 1)
-        cut = head if marker.startswith("<") else F.when(
-            F.contains(head, F.lit("<")), F.regexp_replace(head, r"(?s)<[^<]*$", "")
-        ).otherwise(head)
-        kept = F.when(at > 0, cut).otherwise(kept)
+        kept = bind(kept, _cut_at(marker))
     return html_to_text(kept)
 
 
+def _cut_at(marker: str):
+    def cut(text: Column) -> Column:
+        at = F.instr(text, marker)
+        head = F.substring(text, F.lit(1), at - 1)
+        if not marker.startswith("<"):
+            # up to the last opening bracket, if there is one
+            head = F.when(F.contains(head, F.lit("<")), F.regexp_replace(head, r"(?s)<[^<]*$", "")).otherwise(head)
+        return F.when(at > 0, head).otherwise(text)
+
+    return cut
+
+
 def read_linkedin(cards: DataFrame, details: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """De-duplicated cards joined to their descriptions.
 
