@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from postgrain.functions.fanout import explode_rows, posexplode_rows
 from postgrain.functions.stemming import common_start, porter_stem, stem_column
-from postgrain.functions.text import index_tokens
+from postgrain.functions.text import bind, index_tokens
 from postgrain.rules import constants as C
 from postgrain.session import checkpointed
 
@@ -107,19 +107,32 @@ def phrase_scan(
     ])
 
     def places(name: str, field: int) -> Column:
-        likely = (lambda t: _begins_like(t, list(slots))) if stemmed else (lambda t: t.isin(*slots))
-        found = F.filter(
-            F.transform(F.col(name), lambda t, i: F.when(
-                likely(t), F.struct((stem_column(t) if stemmed else t).alias("token"), i.alias("pos")))),
-            lambda p: p.isNotNull() & p["token"].isin(*slots),
-        )
-        return F.flatten(F.transform(found, lambda p: F.transform(
-            F.element_at(lookup, p["token"]),
-            lambda u: F.struct(
-                u["phrase"].alias("phrase"), u["offset"].alias("offset"),
-                F.lit(field).alias("field"), (p["pos"] - u["offset"]).alias("start"),
-            ),
-        )))
+        def likely(t: Column) -> Column:
+            return _begins_like(t, list(slots)) if stemmed else t.isin(*slots)
+
+        def found(known: Column) -> Column:
+            return F.filter(
+                F.transform(F.col(name), lambda t, i: F.when(likely(t), F.struct(
+                    (F.element_at(known, t) if stemmed else t).alias("token"), i.alias("pos")))),
+                lambda p: p.isNotNull() & p["token"].isNotNull(),
+            )
+
+        def uses(known: Column) -> Column:
+            return F.flatten(F.transform(found(known), lambda p: F.transform(
+                F.element_at(lookup, p["token"]),
+                lambda u: F.struct(
+                    u["phrase"].alias("phrase"), u["offset"].alias("offset"),
+                    F.lit(field).alias("field"), (p["pos"] - u["offset"]).alias("start"),
+                ),
+            )))
+
+        if not stemmed:
+            return uses(lookup)
+        # every different word is stemmed once per text: a map of those with a wanted stem
+        pairs = F.transform(
+            F.array_distinct(F.filter(F.col(name), likely)),
+            lambda t: F.struct(t.alias("word"), stem_column(t).alias("stem")))
+        return bind(F.map_from_entries(F.filter(pairs, lambda p: p["stem"].isin(*slots))), uses)
 
     hits = F.concat(*[places(n, i) for i, n in enumerate(names)])
     return tokenised.select("doc_id", length.alias("dl"), hits.alias("hits"))
