@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postgrain.functions.fanout import explode_rows, inline_rows
-from postgrain.functions.patterns import SPACE, jvm
+from postgrain.functions.patterns import SPACE, any_of, jvm
 from postgrain.functions.taxonomy import seniority_rank
 from postgrain.functions.text import trim
 from postgrain.operators.profiles import PROFILE_LIMIT, Profile
@@ -116,10 +116,15 @@ def _kept(reasons: list[Column]) -> Column:
 
 def work_auth_reasons(description: Column | str, rules=P.WORK_AUTH_PATTERNS) -> Column:
     text = F.col(description) if isinstance(description, str) else description
-    return _kept([
+    found = _kept([
         F.when(F.regexp_like(text, F.lit(jvm(pattern, ignore_case=True))), f"work-auth:{label}")
         for label, pattern in rules
     ])
+    if not rules:
+        return found
+    # one search for all rules, as few texts match any
+    some = F.regexp_like(text, F.lit(any_of([pattern for _, pattern in rules], ignore_case=True)))
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
 
 
 def profile_reasons(profile: Profile) -> Column:
